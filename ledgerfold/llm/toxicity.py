@@ -31,7 +31,7 @@ from .common import add_columns, id_remainder
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BITS = 20
-MAX_ROWS = 6000
+MAX_ROWS = 12_000
 THRESHOLD = 0.7
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _C = np.uint64(0xD6E8FEB86659FD93)
@@ -66,7 +66,7 @@ class Hasher:
 class Ftrl:
     """alpha, beta: per-coordinate rate alpha / (beta + sqrt(sum of squared gradients))."""
 
-    def __init__(self, alpha: float = 0.1, beta: float = 1.0, l1: float = 2.0, l2: float = 1.0):
+    def __init__(self, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
@@ -86,7 +86,7 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out=lambda doc_id: id_remainder(doc_id, 3) == 1, max_rows: int = MAX_ROWS, epochs: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, held_out=lambda doc_id: id_remainder(doc_id, 3) == 1, max_rows: int = MAX_ROWS, epochs: int = 8) -> tuple[np.ndarray, np.ndarray, float]:
     """(coordinates, weights, bias) of the non-zero weights."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     picked = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)

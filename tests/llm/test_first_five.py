@@ -236,14 +236,15 @@ def test_tilts_are_entropy_balanced(spark):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = [r for r in queries.op4_toxicity(spark, sf).collect()]
-    assert len(rows) == 1000 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
+    assert len(rows) == 10000 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
     held = [(r["score"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
     good, bad = [s for s, y in held if not y], [s for s, y in held if y]
     auc = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(good) * len(bad))
-    assert auc > 0.85, auc
+    assert auc > 0.95, auc
+    assert sum(s >= 0.7 for s in good) <= 0.01 * len(good) and sum(s >= 0.7 for s in bad) >= 0.5 * len(bad)
 
 
 def test_toxicity_without_labels(spark):

@@ -55,8 +55,8 @@ PHRASE = np.dtype([("hi", "<u8"), ("lo", "<u2"), ("outer_hi", "<u8"), ("outer_lo
 MARK = np.dtype([("uid", "<i8"), ("at", "<u4"), ("what", "u1")])
 #: An `at` that stands for several entries of a batch.
 SEVERAL = 0xFFFFFFFF
-#: Bits of `what`: the string repeats; the text has to give its strings here; it has strings without a trigger.
-REPEATS, GIVE, OPEN = 1, 2, 4
+#: Bits of `what`: the string repeats; the text has to give its strings here; it has strings without a trigger; `at` is a position.
+REPEATS, GIVE, OPEN, STRING = 1, 2, 4, 8
 
 
 def triggers(text: bytes) -> np.ndarray:
@@ -161,18 +161,35 @@ def _combine_strings(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     several = np.bincount(run)[run] > 1
     sent = e[new]
     sent["at"][several[new]] = SEVERAL
-    return sent, _marks(e[several], REPEATS)
+    return sent, _marks(e[several], STRING)
 
 
 def _judge_strings(e: np.ndarray) -> np.ndarray:
     e, _, run = _runs(e, PRINT)
-    return _marks(e[(np.bincount(run)[run] > 1) & (e["at"] != SEVERAL)], REPEATS)
+    return _marks(e[(np.bincount(run)[run] > 1) & (e["at"] != SEVERAL)], STRING)
+
+
+def pack(a: np.ndarray) -> bytes:
+    """Column by column, ids and positions as differences, compressed."""
+    cols = [np.diff(a[n], prepend=a.dtype[n].type(0)) if n in ("uid", "at") else a[n] for n in a.dtype.names]
+    return zstandard.ZstdCompressor(level=1).compress(len(a).to_bytes(8, "little") + b"".join(np.ascontiguousarray(c).tobytes() for c in cols))
+
+
+def unpack(blob: bytes, kind: np.dtype) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, at = int.from_bytes(raw[:8], "little"), 8
+    out = np.empty(n, kind)
+    for name in kind.names:
+        col = np.frombuffer(raw, kind[name], n, at)
+        out[name] = np.cumsum(col, dtype=kind[name]) if name in ("uid", "at") else col
+        at += n * kind[name].itemsize
+    return out
 
 
 def _deal(values: np.ndarray, keys: np.ndarray) -> list[tuple[int, bytes]]:
     order = np.argsort(keys, kind="stable")
     cuts = np.flatnonzero(np.diff(keys[order])) + 1
-    return [(int(keys[k[0]]), values[k].tobytes()) for k in np.split(order, cuts) if len(k)]
+    return [(int(keys[k[0]]), pack(values[k])) for k in np.split(order, cuts) if len(k)]
 
 
 def combine(parts: list[np.ndarray], how, n_buckets: int, n_blocks: int, marks: list[np.ndarray]) -> list[tuple[int, int, bytes | None, bytes | None]]:
@@ -203,7 +220,7 @@ def judged(sent: DataFrame, kind: np.dtype, judge, n_blocks: int) -> DataFrame:
     """Marks, by block, that each bucket's entries get, and those that came along."""
 
     def run(table: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(b, kind) for b in table.column("entries").to_pylist() if b]
+        blobs = [unpack(b, kind) for b in table.column("entries").to_pylist() if b]
         out = [(k, m) for k, m in zip(table.column("block").to_pylist(), table.column("marks").to_pylist()) if m]
         if blobs:
             m = judge(np.concatenate(blobs))
@@ -216,7 +233,7 @@ def judged(sent: DataFrame, kind: np.dtype, judge, n_blocks: int) -> DataFrame:
 
 def _by_uid(table: pa.Table) -> dict[int, np.ndarray]:
     """Each text's marks."""
-    blobs = [np.frombuffer(b, MARK) for b in table.column("marks").to_pylist() if b]
+    blobs = [unpack(b, MARK) for b in table.column("marks").to_pylist() if b]
     if not blobs:
         return {}
     m = np.concatenate(blobs)
@@ -234,16 +251,17 @@ def cover(n: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
 
 
 def settle(text: bytes, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(covered bytes, starts of the strings to give) after round 1."""
+    """(bytes covered by all that the marks say repeats, starts of the strings to give in round 2)."""
     n = len(text)
     t, _, _, outer_start, outer_stop, first, last = parse(text)
-    rows = marks[marks["at"] < len(first)]
+    rows = marks[(marks["what"] & (OPEN | STRING)) == 0]
     at = rows["at"][rows["what"] & REPEATS > 0]
     give = np.unique(rows["at"][rows["what"] & GIVE > 0])
     starts = [np.arange(a, b + 1) for a, b in zip(first[give].tolist(), last[give].tolist())]
     if (marks["what"] & OPEN).any():
         starts.append(open_starts(t, n))
-    return cover(n, outer_start[at], outer_stop[at]), np.concatenate(starts) if starts else np.empty(0, np.int64)
+    place = marks["at"][marks["what"] & STRING > 0].astype(np.int64)
+    return cover(n, np.concatenate((outer_start[at], place)), np.concatenate((outer_stop[at], place + LENGTH))), np.concatenate(starts) if starts else np.empty(0, np.int64)
 
 
 def outcome(text: bytes, covered: np.ndarray | None) -> tuple[int, int, int, str]:
@@ -275,61 +293,34 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
                     marks.append(np.array([(uid, SEVERAL, OPEN)], MARK))
             yield _sent(combine(parts, _combine_phrases, n_buckets, n_blocks, marks))
 
-    first = judged(base.select("text", "uid").mapInArrow(scan, _SENT), PHRASE, _judge_phrases, n_blocks)
+    first = cut(judged(base.select("text", "uid").mapInArrow(scan, _SENT), PHRASE, _judge_phrases, n_blocks))
     by_block = base.withColumn("block", F.pmod("uid", F.lit(n_blocks)).cast("int"))
     result = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("spans", T.StringType())]
+    schema = T.StructType([T.StructField("doc_id", id_type), *[T.StructField(*x) for x in result]])
     arrow = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    kept = T.StructType([T.StructField("doc_id", id_type), *[T.StructField(*x) for x in result]])
-    more = [("uid", T.LongType(), pa.int64()), ("packed", T.BinaryType(), pa.binary()), ("bucket", T.IntegerType(), pa.int32()), ("block", T.IntegerType(), pa.int32()), ("entries", T.BinaryType(), pa.binary()), ("marks", T.BinaryType(), pa.binary())]
-    staged = T.StructType([*kept.fields, *[T.StructField(n, t) for n, t, _ in more]])
-
-    def table(ids: pa.Array, rows: list[tuple], extra: list[tuple]) -> pa.Table:
-        """ids: a doc_id for each of rows; rows: results and uid, packed, bucket, block; extra: rows of `combine`."""
-        none = [None] * len(extra)
-        got = list(zip(*rows)) or [()] * 9
-        sent = list(zip(*extra)) or [()] * 4
-        cols = [pa.concat_arrays([ids, pa.nulls(len(extra), ids.type)])]
-        cols += [pa.array([*c, *none], t) for c, t in zip(got[:5], arrow)]
-        tail = [(*got[5], *none), (*got[6], *none), (*got[7], *sent[0]), (*got[8], *sent[1]), (*[None] * len(rows), *sent[2]), (*[None] * len(rows), *sent[3])]
-        cols += [pa.array(c, t) for c, (_, _, t) in zip(tail, more)]
-        return pa.table(cols, names=staged.names)
-
-    def second(left: pa.Table, right: pa.Table) -> pa.Table:
-        marks, squeeze = _by_uid(right), zstandard.ZstdCompressor(level=1)
-        rows, parts = [], []
-        for text, uid, block in zip(left.column("text").to_pylist(), left.column("uid").to_pylist(), left.column("block").to_pylist()):
-            covered, given = settle(text, marks[uid]) if uid in marks else (None, ())
-            if not len(given):
-                rows.append((*outcome(text, covered), _spans(covered), None, None, None, None))
-                continue
-            parts.append(_entries(text, uid, given))
-            packed = squeeze.compress(len(text).to_bytes(8, "little") + np.packbits(covered).tobytes() + text)
-            rows.append((None, None, None, None, None, uid, packed, None, block))
-        ids = left.column("doc_id").combine_chunks() if left.num_rows else pa.nulls(0, left.schema.field("doc_id").type)
-        return table(ids, rows, combine(parts, _combine_strings, n_buckets, n_blocks, []))
-
-    one = by_block.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(second, staged)
-    one = cut(one)
-    last = judged(one.where("bucket is not null").select("bucket", "block", "entries", "marks"), ENTRY, _judge_strings, n_blocks)
-
-    def third(left: pa.Table, right: pa.Table) -> pa.Table:
-        marks, loosen, rows = _by_uid(right), zstandard.ZstdDecompressor(), []
-        for uid, packed in zip(left.column("uid").to_pylist(), left.column("packed").to_pylist()):
-            raw = loosen.decompress(packed)
-            n = int.from_bytes(raw[:8], "little")
-            size = (n + 7) // 8
-            covered, text = np.unpackbits(np.frombuffer(raw, np.uint8, size, 8), count=n).astype(bool), raw[8 + size :]
-            if uid in marks:
-                starts = marks[uid]["at"].astype(np.int64)
-                covered |= cover(n, starts, starts + LENGTH)
+
+    def give(texts: pa.Table, marked: pa.Table) -> pa.Table:
+        marks, parts = _by_uid(marked), []
+        if marks:
+            for text, uid in zip(texts.column("text").to_pylist(), texts.column("uid").to_pylist()):
+                starts = settle(text, marks[uid])[1] if uid in marks else ()
+                if len(starts):
+                    parts.append(_entries(text, uid, starts))
+        return pa.Table.from_batches([_sent(combine(parts, _combine_strings, n_buckets, n_blocks, []))])
+
+    def finish(texts: pa.Table, marked: pa.Table) -> pa.Table:
+        marks, rows = _by_uid(marked), []
+        for text, uid in zip(texts.column("text").to_pylist(), texts.column("uid").to_pylist()):
+            covered = settle(text, marks[uid])[0] if uid in marks else None
             rows.append((*outcome(text, covered), _spans(covered)))
         got = list(zip(*rows)) or [()] * 5
-        ids = left.column("doc_id").combine_chunks() if left.num_rows else pa.nulls(0, left.schema.field("doc_id").type)
-        return pa.table([ids, *[pa.array(c, t) for c, t in zip(got, arrow)]], names=kept.names)
+        ids = texts.column("doc_id").combine_chunks() if texts.num_rows else pa.nulls(0, texts.schema.field("doc_id").type)
+        return pa.table([ids, *[pa.array(c, t) for c, t in zip(got, arrow)]], names=schema.names)
 
-    open_docs = one.where("packed is not null").select("doc_id", "uid", "packed", "block")
-    settled = one.where("n_bytes is not null").select(*kept.names)
-    return settled.unionByName(open_docs.groupBy("block").cogroup(last.groupBy("block")).applyInArrow(third, kept))
+    # Both passes read texts by block: one shuffle, used twice.
+    given = by_block.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(give, _SENT)
+    every = first.unionByName(judged(given, ENTRY, _judge_strings, n_blocks))
+    return by_block.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(finish, schema)
 
 
 def _spans(covered: np.ndarray | None) -> str:

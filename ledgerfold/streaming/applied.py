@@ -9,6 +9,8 @@ authority on restart, never the one that on_applied saw last.
 from __future__ import annotations
 
 import queue
+import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -183,19 +185,23 @@ def watch_applied(bucket: Bucket, loop: AppliedLoop, checkpoint: str, resume: in
                 frontier[0] = first[1]
         loop.batch(rows)
 
-    stream = watch_stream(spark, bucket, loop.scope, start, config.max_revisions)
-    writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{checkpoint}/from-{start:020d}")
-    if query_name:
-        writer = writer.queryName(query_name)
-    if available_now:
-        writer = writer.trigger(availableNow=True)
-    else:
-        writer = writer.trigger(processingTime=f"{config.window_ms} milliseconds")
-    query = writer.start()
-    if available_now:
+    # The fold's cursor is the authority: every start has a checkpoint of its own, from where the fold is.
+    at = start
+    while True:
+        stream = watch_stream(spark, bucket, loop.scope, at, config.max_revisions)
+        writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{checkpoint}/from-{at:020d}-{uuid.uuid4().hex}")
+        if query_name:
+            writer = writer.queryName(query_name)
+        if not available_now:
+            return writer.trigger(processingTime=f"{config.window_ms} milliseconds").start()
+        query = writer.trigger(availableNow=True).start()
         query.awaitTermination()
-        loop.serve_exports()
-    return query
+        progress = query.lastProgress
+        reached = int(re.search(r"\d+", str(progress["sources"][0]["endOffset"]))[0]) if progress else at
+        if reached >= head or reached <= at:  # a rate limit ends a run early
+            loop.serve_exports()
+            return query
+        at = reached
 
 
 def _pieces(bucket: Bucket, scope: Scope, most: int) -> list[tuple[int, int]]:

@@ -170,3 +170,18 @@ def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     own = [c for c in docs.columns]
     marked = contamination(docs.select(*[F.col(f"`{c}`").alias(f"__d{i}") for i, c in enumerate(own)], F.col("text")), benchmark, **how)
     return marked.where(~F.col("contaminated")).select(*[F.col(f"__d{i}").alias(c) for i, c in enumerate(own)])
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, w, least(len(w), {WINDOW}) AS m FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0 AND item_id IS NOT NULL),
+pattern AS (SELECT DISTINCT item_id, m, array_to_string(w[p : p + m - 1], ' ') AS g FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM i)),
+place AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM pattern)),
+found AS (SELECT doc_id, p, s.m, item_id FROM (SELECT doc_id, p, m, array_to_string(w[p : p + m - 1], ' ') AS g FROM place) s JOIN pattern USING (m, g)),
+hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + m)) AS q FROM found) GROUP BY doc_id),
+item AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)
+"""

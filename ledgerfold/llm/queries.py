@@ -63,4 +63,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op3_secrets, op4_toxicity, op5_simhash, op6_licenses, op7_suffix_dedup, op8_mixing, op9_language, op10_decontamination)}
-ORACLES = {"op1_sharding": sharding.ORACLE_SQL, "op2_quality": quality.ORACLE_SQL}
+ORACLES = {"op1_sharding": sharding.ORACLE_SQL, "op2_quality": quality.ORACLE_SQL, "op7_suffix_dedup": suffix_dedup.ORACLE_SQL, "op10_decontamination": decontaminate.ORACLE_SQL}

@@ -328,3 +328,19 @@ def _spans(covered: np.ndarray | None) -> str:
         return ""
     edge = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0))
     return ",".join(f"{a}:{b}" for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()))
+
+
+_PART = 512  # bytes; SQL takes strings of parts, as substr walks long texts from their start
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+part AS (SELECT doc_id, n, c, substr(h, 2 * c + 1, 2 * ({_PART} + {LENGTH})) AS h FROM (SELECT doc_id, h, n, unnest(range(0, n, {_PART})) AS c FROM d)),
+byte AS (SELECT doc_id, p, substr(h, 2 * (p - c) - 1, 2) AS x, CASE WHEN p + {LENGTH} - 1 <= n THEN md5(substr(h, 2 * (p - c) - 1, {2 * LENGTH})) END AS g
+         FROM (SELECT doc_id, h, n, c, unnest(range(c + 1, least(c + {_PART}, n) + 1)) AS p FROM part)),
+again AS (SELECT g FROM byte WHERE g IS NOT NULL GROUP BY g HAVING count(*) > 1),
+flag AS (SELECT b.doc_id, b.p, b.x, CASE WHEN a.g IS NOT NULL THEN b.p END AS start FROM byte b LEFT JOIN again a ON a.g = b.g),
+cover AS (SELECT doc_id, p, x, coalesce(max(start) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) > p - {LENGTH}, false) AS gone FROM flag),
+edge AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM cover),
+s AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(x, '' ORDER BY p) FILTER (NOT gone) AS kept FROM edge GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id)
+"""

@@ -13,8 +13,8 @@ distributed aggregation, and sources stay a distributed table.
 
 Copies: floor(rate) for every document and one more for some, so that each
 source's words come as near its target as its sizes allow: error diffusion
-from large sizes to small in each source's histogram. The documents that get
-the extra copy are those with the smallest content hash, ranked in two steps
+from large sizes to small in each source's histogram, then single moves. The
+documents that get the extra copy are those with the smallest content hash, ranked in two steps
 (1024 hash ranges a class), so a class with a third of all rows is spread out.
 
 Defined results: null text has size 0 and is taken 0 times; a null source is a
@@ -94,27 +94,38 @@ def tilts(hist: DataFrame, goals: DataFrame, cap: float = CAP, max_steps: int =
 
 
 def round_rates(size: np.ndarray, n: np.ndarray, rate: np.ndarray, target: float, cap: int = CAP) -> tuple[np.ndarray, np.ndarray]:
-    """(copies each document of a size gets, how many of them get one more), for one source's sizes.
+    """(copies each document of a size gets, how many of them get one more, or one less if negative), for one source.
 
     From the largest size down, what rounding took too many or too few words
-    is carried on; then single copies are moved while that lessens the error.
+    is carried on. Then single copies are given, taken or moved from one size
+    to another while that brings the words nearer to the target.
     """
     base = np.minimum(np.floor(rate), cap).astype(np.int64)
     part = np.where(base >= cap, 0.0, rate - base)
+    low, high = np.where(base > 0, -n, 0), np.where(base < cap, n, 0)
     extra, carry = np.zeros(len(size), np.int64), 0.0
     for k in np.argsort(-size, kind="stable"):
-        if size[k] <= 0:
-            continue
-        extra[k] = min(n[k] if base[k] < cap else 0, max(0, round(part[k] * n[k] + carry / size[k])))
-        carry += size[k] * (part[k] * n[k] - extra[k])
+        if size[k] > 0:
+            extra[k] = min(high[k], max(0, round(part[k] * n[k] + carry / size[k])))
+            carry += size[k] * (part[k] * n[k] - extra[k])
     error = target - float((size * (base * n + extra)).sum())
+    order = np.argsort(size, kind="stable")
+    order = order[size[order] > 0]
     for _ in range(1000):
-        can = ((extra < n) & (base < cap) if error > 0 else extra > 0) & (size > 0) & (size < 2 * abs(error))
-        if not can.any():
+        more, less = order[extra[order] < high[order]], order[extra[order] > low[order]]
+        gain = np.concatenate(([0], size[more]))  # nothing, or one copy more of a size
+        loss = np.concatenate(([0], size[less]))  # nothing, or one copy less; ascending
+        at = np.clip(np.searchsorted(loss, gain - error), 1, len(loss)) - 1
+        at = np.where((at + 1 < len(loss)) & (np.abs(gain - loss[np.minimum(at + 1, len(loss) - 1)] - error) < np.abs(gain - loss[at] - error)), at + 1, at)
+        left = np.abs(gain - loss[at] - error)
+        k = int(left.argmin())
+        if left[k] >= abs(error):
             break
-        k = np.flatnonzero(can)[np.argmin(np.abs(size[can] - abs(error)))]
-        extra[k] += 1 if error > 0 else -1
-        error -= size[k] if error > 0 else -size[k]
+        if k:
+            extra[more[k - 1]] += 1
+        if at[k]:
+            extra[less[at[k] - 1]] -= 1
+        error -= gain[k] - loss[at[k]]
     return base, extra
 
 
@@ -145,7 +156,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP
     plan = fine.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(classes, ["src", "size"])
     plan = plan.select(F.col("src").alias("__src"), F.col("size").alias("__size"), F.col("range").alias("__range"), "before", "base", "extra", "source_size", "target")
     rank = F.col("before") + F.row_number().over(W.partitionBy("__src", "__size", "__range").orderBy("__key"))
-    out = marked.join(plan, ["__src", "__size", "__range"]).withColumn("copies", F.col("base") + (rank <= F.col("extra")).cast("long"))
+    out = marked.join(plan, ["__src", "__size", "__range"]).withColumn("copies", F.col("base") + F.when(rank <= F.abs("extra"), F.signum("extra").cast("long")).otherwise(F.lit(0)))
     return out.select(*[F.col(f"`{c}`") for c in own], F.col("__size").alias("size"), "source_size", "target", "copies", (F.col("__size") * F.col("copies")).alias("taken"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST_PERCENT = 50, 50, 40
-#: Lines of so many tokens need a punctuation mark; shorter ones may be navigation.
+#: Lines of so many tokens need a punctuation mark; two separators in a line of so many, or one in four tokens, are navigation.
 LONG_LINE, NAVIGATION_LINE, MENU_LINE = 10, 12, 5
 PUNCTUATION = r"[.,;:!?\x{2026}\x{3002}]"
 LINE_SYMBOLS = r"[#*$%&|<>!]"
@@ -71,8 +71,9 @@ def line_fails(line: Column) -> Column:
         size = F.length(t)
         punctuation = (tokens >= LONG_LINE) & ~t.rlike(PUNCTUATION)
         symbols = 10 * (size - F.length(F.regexp_replace(t, LINE_SYMBOLS, ""))) > size
-        separators = size - F.length(F.regexp_replace(t, SEPARATORS, "")) >= 2
-        navigation = (tokens <= NAVIGATION_LINE) & (separators | ((tokens <= MENU_LINE) & t.rlike(MENU)))
+        separators = size - F.length(F.regexp_replace(t, SEPARATORS, ""))
+        listed = (separators >= 2) & ((tokens <= NAVIGATION_LINE) | (4 * separators >= tokens))
+        navigation = listed | ((tokens <= MENU_LINE) & t.rlike(MENU))
         boilerplate = F.lit(False)
         for phrase in BOILERPLATE:
             boilerplate = boilerplate | F.contains(t, F.lit(phrase))
@@ -121,10 +122,10 @@ again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
 l AS (SELECT doc_id, l, lower(trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS t
       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
-k AS (SELECT *, length(t) - length(replace(t, ' ', '')) + 1 AS tokens FROM l),
+k AS (SELECT *, length(t) - length(replace(t, ' ', '')) + 1 AS tokens, length(t) - length(regexp_replace(t, '{SEPARATORS}', '', 'g')) AS seps FROM l),
 j AS (SELECT doc_id, l, (tokens >= {LONG_LINE} AND NOT regexp_matches(t, '{PUNCTUATION}'))
       OR 10 * (length(t) - length(regexp_replace(t, '{LINE_SYMBOLS}', '', 'g'))) > length(t)
-      OR (tokens <= {NAVIGATION_LINE} AND (length(t) - length(regexp_replace(t, '{SEPARATORS}', '', 'g')) >= 2 OR (tokens <= {MENU_LINE} AND regexp_matches(t, '{MENU}'))))
+      OR (seps >= 2 AND (tokens <= {NAVIGATION_LINE} OR 4 * seps >= tokens)) OR (tokens <= {MENU_LINE} AND regexp_matches(t, '{MENU}'))
       OR {_SQL_BOILERPLATE} AS bad FROM k),
 s AS (SELECT doc_id, count(*) - count(DISTINCT l) AS dup, sum(length(l)) AS chars, coalesce(sum(length(l)) FILTER (bad), 0) AS lost FROM j GROUP BY doc_id),
 a AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,

@@ -2,8 +2,8 @@
 
 Order is arrival order: versions are never compared, so changes of unknown
 revision fold like others. Prefix and revision predicates sit below the
-aggregation and reach the Parquet scan. An aggregation is one shuffle on the
-key, with map-side combination, so a hot key sends one row a task.
+aggregation and reach the Parquet scan. Aggregations combine on the map side,
+so a hot key sends one row a task.
 """
 
 from __future__ import annotations
@@ -20,11 +20,15 @@ _REST = ("op", "value", "revision", "version")
 
 
 def latest(log: DataFrame, scope: Scope | None = None) -> DataFrame:
-    """Last change of each key in the scope, markers included."""
+    """Last change of each key in the scope, markers included; arrivals of a key are distinct.
+
+    The aggregation sees only (key, arrival), so it hashes and never sorts
+    values; the join back is on key and arrival, so a hot key is spread out.
+    """
     if scope is not None:
         log = log.where(scope.column())
-    last = log.groupBy("key").agg(F.max_by(F.struct(*_REST), "arrival").alias("c"), F.max("arrival").alias("arrival"))
-    return last.select("key", *[f"c.{n}" for n in _REST], "arrival")
+    last = log.groupBy("key").agg(F.max("arrival").alias("arrival"))
+    return log.join(last, ["key", "arrival"], "left_semi").select("key", *_REST, "arrival")
 
 
 def latest_by_window(log: DataFrame) -> DataFrame:
@@ -33,10 +37,10 @@ def latest_by_window(log: DataFrame) -> DataFrame:
     return log.withColumn("rn", rank).where(F.col("rn") == 1).select("key", *_REST, "arrival")
 
 
-def latest_by_join(log: DataFrame) -> DataFrame:
-    """The same by a hash aggregation of (key, arrival) and a join back on the unique arrival."""
-    last = log.groupBy("key").agg(F.max("arrival").alias("arrival")).select("arrival")
-    return log.join(last, "arrival", "left_semi").select("key", *_REST, "arrival")
+def latest_by_max(log: DataFrame) -> DataFrame:
+    """The same by one aggregation, which sorts as it carries values; any of equal arrivals."""
+    last = log.groupBy("key").agg(F.max_by(F.struct(*_REST), "arrival").alias("c"), F.max("arrival").alias("arrival"))
+    return last.select("key", *[f"c.{n}" for n in _REST], "arrival")
 
 
 def fold(log: DataFrame, scope: Scope | None = None) -> DataFrame:

@@ -71,9 +71,9 @@ def fold_latest_window(spark, sf_dir):
     return _text(ops.latest_by_window(events_log(spark, sf_dir)).where(C.is_put()).select("key", "value", "revision"))
 
 
-@query("fold_latest_join", ORACLES["fold_latest"])
-def fold_latest_join(spark, sf_dir):
-    return _text(ops.latest_by_join(events_log(spark, sf_dir)).where(C.is_put()).select("key", "value", "revision"))
+@query("fold_latest_max", ORACLES["fold_latest"])
+def fold_latest_max(spark, sf_dir):
+    return _text(ops.latest_by_max(events_log(spark, sf_dir)).where(C.is_put()).select("key", "value", "revision"))
 
 
 @query("fold_orders", _ORDERS + "SELECT key, value, revision FROM last WHERE op = 'PUT'")

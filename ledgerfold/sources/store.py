@@ -26,7 +26,7 @@ from ledgerfold.functions.columns import is_put
 from ledgerfold.functions.scope import Scope
 from ledgerfold.kernels import cursor_hex, parse_cursor_hex
 from ledgerfold.operators import fold as ops
-from ledgerfold.sources.schema import COMPACT_BYTES, FOLD, MAX_VALUE_BYTES, PUT
+from ledgerfold.sources.schema import COMPACT_BYTES, FOLD, MAX_VALUE_BYTES
 
 FORMAT_GENERATION = "1"
 _BASE = T.StructType([*FOLD.fields, T.StructField("bucket", T.IntegerType())])
@@ -70,11 +70,12 @@ class FoldReader:
         deltas = reduce(DataFrame.unionByName, [self.spark.read.schema(_DELTA).parquet(f"{self.path}/{d['dir']}").withColumn("__n", F.lit(d["n"])) for d in m["deltas"]])
         if buckets is not None:
             deltas = deltas.where(F.col("bucket").isin(sorted(buckets)))
-        rows = held.select("key", "value", "revision", "version", F.lit(PUT).alias("op"), F.lit(-1).alias("__n"), F.lit(0).cast("long").alias("arrival"))
-        every = rows.unionByName(deltas.select("key", "value", "revision", "version", "op", "__n", "arrival"))
-        order = F.struct("__n", "arrival")
-        last = every.groupBy("key").agg(F.max_by(F.struct("op", "value", "revision", "version"), order).alias("c"))
-        return last.where(is_put("c.op")).select("key", "c.value", "c.revision", "c.version")
+        if len(m["deltas"]) > 1:  # a delta has a key once
+            newest = deltas.groupBy("key").agg(F.max("__n").alias("__n"))
+            deltas = deltas.join(newest, ["key", "__n"], "left_semi")
+        names = FOLD.fieldNames()
+        kept = held.join(deltas.select("key"), "key", "left_anti")
+        return kept.select(*names).unionByName(deltas.where(is_put()).select(*names))
 
     def rows(self, scope: str | Scope = "") -> DataFrame:
         s = scope if isinstance(scope, Scope) else Scope.prefix(scope)

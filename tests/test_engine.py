@@ -60,7 +60,7 @@ def test_folds_equal_dict_fold(spark, seed):
     want = dict_fold(rows)
     assert state(ops.fold(log)) == want
     assert state(ops.latest_by_window(log).where("op = 'PUT'")) == want
-    assert state(ops.latest_by_join(log).where("op = 'PUT'")) == want
+    assert state(ops.latest_by_max(log).where("op = 'PUT'")) == want
     assert state(ops.live(log)) == {k: v for k, v in want.items() if v}
     assert {x["key"] for x in ops.live_keys(log, Scope.of(["a.", "b."])).collect()} == {k for k, v in want.items() if v and k[:2] in ("a.", "b.")}
     cutoff = 200

@@ -51,7 +51,7 @@ def train(docs: DataFrame, held_out=lambda doc_id: id_remainder(doc_id, 4) == 2,
     share = F.lit(0.0)
     for lang, n in sorted(sizes.items()):
         share = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(share)
-    sample = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < share * 1_000_000)
+    sample = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1_000_000)) < share * 1_000_000)
 
     def count(batches):
         total: dict[str, np.ndarray] = {}

@@ -84,7 +84,8 @@ class Bucket:
         for name in self.files.names(f"{self.path}/claims"):
             if name[0].isdigit() and int(name.split("-")[-1]) > state["sealed"]:
                 claim = json.loads(self.files.read(f"{self.path}/claims/{name}"))
-                out.append(claim)
+                if not claim.get("void"):
+                    out.append(claim)
         return out
 
     def head(self) -> int:
@@ -235,10 +236,28 @@ class Bucket:
         out.write.parquet(f"{self.path}/segments/{folder}")
         return head + 1, head + n
 
+    def void_stalled(self, older_than_s: float) -> int:
+        """Give up bulk appends that were claimed so long ago and never finished; their revisions stay unused.
+
+        Until then, watches wait before the claimed range.
+        """
+        n = 0
+        for name in self.files.names(f"{self.path}/claims"):
+            if name[0].isdigit() and "-" in name and not self.files.exists(f"{self.path}/segments/{name}/_SUCCESS"):
+                claim = json.loads(self.files.read(f"{self.path}/claims/{name}"))
+                if not claim.get("void") and claim["at"] + older_than_s <= self.clock():
+                    self.files.replace(f"{self.path}/claims/{name}", json.dumps(claim | {"void": True}).encode())
+                    n += 1
+        return n
+
     def seal(self) -> None:
         """Turn claims into a Parquet segment."""
         state = self._state()
         claims = self._claims(state)
+        for k, c in enumerate(claims):  # an append that is still being written ends what can be sealed
+            if "segment" in c and not self.files.exists(f"{self.path}/segments/{c['segment']}/_SUCCESS"):
+                claims = claims[:k]
+                break
         if not claims:
             return
         last = max(c.get("to", c.get("revision")) for c in claims)
@@ -279,6 +298,8 @@ class Bucket:
         """
         self.seal()
         state = self._state()
+        if self._claims(state):
+            raise OperationFailed("an append is still being written; finish or void it first")
         log = self.changes(with_time=True)
         purged = log.groupBy("key").agg(F.max(F.when(F.col("op") == PURGE, F.col("arrival"))).alias("purged"))
         kept = ops.history(log.join(purged, "key").where(F.col("purged").isNull() | (F.col("arrival") >= F.col("purged"))), self.config.max_history).drop("rn", "purged")

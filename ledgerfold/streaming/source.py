@@ -63,7 +63,7 @@ class LogReader(DataSourceStreamReader):
         head = self._layout()["sealed"]
         for name in _names(f"{self.path}/claims"):
             last = int(name.split("-")[-1])
-            if "-" in name and last > head and not os.path.exists(f"{self.path}/segments/{name}/_SUCCESS"):
+            if "-" in name and last > head and not os.path.exists(f"{self.path}/segments/{name}/_SUCCESS") and not _load(f"{self.path}/claims/{name}").get("void"):
                 break
             head = max(head, last)
         return head
@@ -87,6 +87,8 @@ class LogReader(DataSourceStreamReader):
             if last <= state["sealed"] or last <= low or first > high:
                 continue
             c = _load(f"{self.path}/claims/{name}")
+            if c.get("void"):
+                continue
             if "segment" in c:
                 segments.append({"folder": c["segment"], "from": first, "to": last})
             else:

@@ -200,6 +200,24 @@ def test_bulk_append_and_retention(spark, tmp_path):
     assert 3 not in {x["revision"] for x in b.changes().collect()} and b.first_sequence() == 5
 
 
+def test_a_stalled_append_is_voided(spark, tmp_path):
+    from ledgerfold.streaming.source import LogReader
+
+    now = [1000]
+    b = Bucket(spark, str(tmp_path / "b"), BucketConfig(max_bytes=None), clock=lambda: now[0])
+    b.put("a", b"1")
+    folder = f"{2:020d}-{5:020d}"  # a writer that claimed and died
+    b.files.create(f"{b.path}/claims/{folder}", json.dumps({"from": 2, "to": 5, "segment": folder, "at": 1000}).encode())
+    assert b.put("b", b"2") == 6
+    assert state(b.scan("")) == {"a": "1", "b": "2"} and LogReader({"path": b.path})._head() == 1
+    b.seal()
+    assert b.head() == 6 and b.void_stalled(60) == 0
+    now[0] = 1100
+    assert b.void_stalled(60) == 1 and b.void_stalled(60) == 0 and LogReader({"path": b.path})._head() == 6
+    b.seal()
+    assert b.put("c", b"3") == 7 and state(b.scan("")) == {"a": "1", "b": "2", "c": "3"}
+
+
 def test_retention_by_age_and_bytes(spark, tmp_path):
     now = [1000]
     b = Bucket(spark, str(tmp_path / "age"), BucketConfig(max_age_s=50, max_bytes=None), clock=lambda: now[0])

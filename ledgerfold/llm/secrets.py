@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -73,11 +74,15 @@ def novel_spans(text: str, low: str, known: list[tuple[int, int, int]], novelty:
         if len(low) == len(text):
             return []
         low = "".join(c.lower() if c.isascii() else c for c in text)
-    out = []
+    out, starts, ends = [], [], []
+    for x, _, y in sorted(known):  # the furthest end of the base spans up to each start
+        starts.append(x)
+        ends.append(max(y, ends[-1]) if ends else y)
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         s = m[0]
-        if s.isalpha() or s.isdigit() or not any(c.isdigit() for c in s) or any(x < b and a < y for x, _, y in known):
+        before = bisect_left(starts, b)
+        if s.isalpha() or s.isdigit() or not any(c.isdigit() for c in s) or (before and ends[before - 1] > a):
             continue
         line = low[max(0, a - BEFORE) : a].rpartition("\n")[2]
         if any(w in line for w in SENSITIVE) and novelty(text[max(0, a - AROUND) : a], s, text[b : b + AROUND]) >= MIN_NOVELTY:

@@ -1,11 +1,20 @@
 """Secret scans: base patterns, and zstandard novelty for strings they don't know.
 
 A candidate is a long string of token characters, letters and digits mixed,
-that follows a sensitive word on its line. Its novelty is what it adds to the
-compressed size of the code around it, with a dictionary of common identifiers
-primed: names, paths and repeated values cost little, random keys about a byte
-for each character or six bits at least. Candidates that cost MIN_NOVELTY bytes
-a character or more are reported as kind "novel", unless a base span holds them.
+in sensitive context: it follows a sensitive word on its line; or its line is
+only a value and comes after a line that ends with a sensitive word, blank and
+value lines between them apart; or it is in the body of a PEM private key. A
+value with a label of its own is judged by that.
+
+A candidate's novelty is what it adds to the compressed size of the code around
+it, with a dictionary of common identifiers primed: names, paths and repeated
+values cost little, random keys about a byte for each character or six bits at
+least. The places of the same string in sensitive context are taken out of the
+code around, so that two uses of a secret don't hide each other; a string that
+also stands there in the open stays known by that. The values of one key or
+label are judged as one value too, since random lines make each other's letters
+cheap. Candidates that cost MIN_NOVELTY bytes a character or more, alone or as
+one, are reported as kind "novel", unless a base span holds them.
 
 One narrow pass; nothing is shuffled. Spans are code points, end exclusive.
 
@@ -18,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -33,6 +42,10 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Words near which a string is worth testing, in lower case.
 SENSITIVE = ("key", "auth", "cred", "passw", "secret", "token", "bearer", "private", "session", "signature", "pwd")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: A line that is only a value, quoted, listed or continued; a PEM private key up to what can't be in its body. Both in linear time.
+VALUE_LINE = re.compile(r"""[\s>#*/"'(+-]*+[a-z0-9+/_=-]++(?:\\n)?+["']?+[\s,;)\\+]*+""", re.A | re.I)
+PEM = re.compile(r"""-{4,5} ?begin [a-z0-9 ]*private key[a-z0-9 ]*-{4,5}(?:(?:proc-type|dek-info|comment|version|hash|charset):[^\n]*|[a-z0-9+/=_\s"',>#*-]|\\[nr])*+""", re.A)
+PEM_END = re.compile("-{4,5} ?end ")
 BEFORE, AROUND, MIN_NOVELTY, LEVEL = 48, 256, 0.7, 3
 IDENTIFIERS = b"""
  import export require return function const let var class public private protected static final void string integer boolean
@@ -69,24 +82,99 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     return out
 
 
+class Context:
+    """Groups of places in sensitive context, asked for in rising order; each line is read once.
+
+    None: not in sensitive context. A place behind a word on its line is a group of its own;
+    the values in a PEM key, or on the lines after a label, are one.
+    """
+
+    def __init__(self, low: str):
+        self.low, self.at, self.stop = low, 0, self._end(low, 0)
+        self.label: int | None = None  # start of the sensitive line that a value on this line belongs to
+        self.value: bool | None = None
+        self.keys = []
+        for m in PEM.finditer(low) if "private key" in low else ():
+            end = PEM_END.search(low, m.start(), m.end())
+            self.keys.append((m.start(), end.start() if end else m.end()))
+
+    @staticmethod
+    def _end(low: str, at: int) -> int:
+        stop = low.find("\n", at)
+        return len(low) if stop < 0 else stop
+
+    def _only_value(self) -> bool:
+        if self.value is None:
+            self.value = bool(VALUE_LINE.fullmatch(self.low, self.at, self.stop))
+        return self.value
+
+    def _next_line(self) -> None:
+        tail = self.low[max(self.at, self.stop - BEFORE) : self.stop]
+        if any(w in tail for w in SENSITIVE) and not (self.stop - self.at >= 20 and self._only_value()):  # long values hold words by chance
+            self.label = self.at
+        elif tail.strip() and not self._only_value():
+            self.label = None
+        self.at, self.value = self.stop + 1, None
+        self.stop = self._end(self.low, self.at)
+
+    def __call__(self, a: int) -> tuple[str, int] | None:
+        while a > self.stop:
+            self._next_line()
+        k = bisect_right(self.keys, (a, len(self.low))) - 1
+        if k >= 0 and a < self.keys[k][1]:
+            return "key", k
+        if any(w in self.low[max(self.at, a - BEFORE) : a] for w in SENSITIVE):
+            return "place", a
+        return ("label", self.label) if self.label is not None and self._only_value() else None
+
+
+def without(text: str, start: int, stop: int, places: list[int], size: int) -> str:
+    """text[start:stop] less the strings of that size at these (sorted) places, whole or cut at either end."""
+    out, stop = [], min(stop, len(text))
+    for k in range(bisect_right(places, start - size), bisect_left(places, stop)):
+        if places[k] > start:
+            out.append(text[start : places[k]])
+        start = max(start, places[k] + size)
+    out.append(text[start:stop])
+    return "".join(out)
+
+
 def novel_spans(text: str, low: str, known: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     if len(low) != len(text) or not any(w in low for w in SENSITIVE):  # lower() may change lengths; positions have to agree
         if len(low) == len(text):
             return []
         low = "".join(c.lower() if c.isascii() else c for c in text)
-    out, starts, ends = [], [], []
+    starts, ends = [], []
     for x, _, y in sorted(known):  # the furthest end of the base spans up to each start
         starts.append(x)
         ends.append(max(y, ends[-1]) if ends else y)
+    found, places, groups = [], {}, {}
+    sensitive = Context(low)
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         s = m[0]
         before = bisect_left(starts, b)
         if s.isalpha() or s.isdigit() or not any(c.isdigit() for c in s) or (before and ends[before - 1] > a):
             continue
-        line = low[max(0, a - BEFORE) : a].rpartition("\n")[2]
-        if any(w in line for w in SENSITIVE) and novelty(text[max(0, a - AROUND) : a], s, text[b : b + AROUND]) >= MIN_NOVELTY:
-            out.append((a, 3, b))
+        group = sensitive(a)
+        if group:
+            found.append((a, b, group))
+            places.setdefault(s, []).append(a)
+            groups.setdefault(group, []).append((a, b))
+    around = lambda a, b: (text[max(0, a - AROUND) : a], text[b : b + AROUND])
+    whole = {}  # is the group, as one value, novel?
+    for group, spans in groups.items():
+        if len(spans) > 1:
+            before, after = around(spans[0][0], spans[-1][1])
+            whole[group] = novelty(before, "".join(text[a:b] for a, b in spans), after) >= MIN_NOVELTY
+    out = []
+    for a, b, group in found:
+        s = text[a:b]
+        if not whole.get(group):
+            before, after = (without(text, x, y, places[s], b - a) for x, y in ((max(0, a - AROUND), a), (b, b + AROUND)))
+            if novelty(before, s, after) < MIN_NOVELTY:
+                continue
+        out.append((a, 3, b))
     return out
 
 

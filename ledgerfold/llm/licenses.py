@@ -4,18 +4,18 @@ Training (driver, NumPy, seeded; the data are the templates below, so it is
 bounded): softmax regression with an L1 term over word unigrams and bigrams of
 perturbed templates, with a class "unknown" trained on prose and on shuffled
 licence words. A temperature fitted on perturbations held out calibrates the
-probabilities. Scoring: a paragraph (line) with an anchor word is scored by
-its n-grams' sparse weights; a family with MIN_PROBABILITY or more is
-predicted, and confirmed if half the paragraph's bigrams or more are in that
-family's templates.
+probabilities. Scoring: each paragraph (line) is scored by its n-grams' sparse
+weights; a family with MIN_PROBABILITY or more is predicted, and confirmed if
+half the paragraph's bigrams or more are in that family's templates. Paragraphs
+without a family that hold words of a notice (anchors, licence names) may be of
+a licence outside the families, or too short to tell; they are counted.
 
 All scoring is inside the row: no shuffle and no join. The model is a literal
 of some hundred n-grams, dealt into hash buckets so that a look-up walks a
 short map.
 
-Defined results: null text is empty and has no licence; paragraphs without an
-anchor are not licences; equal paragraphs count each; extra columns stay,
-those named like a result are replaced.
+Defined results: null text is empty and has no licence; equal paragraphs count
+each; extra columns stay, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -93,8 +93,9 @@ PROSE = [
     "You need written permission from your parents to join the trip to the mountains.",
     "Copyright law differs from country to country and changes with every new medium.",
 ]
-#: A paragraph without one of these is not scored.
+#: A paragraph of no family counts as unknown notice with one of these in it, or one of the names as a word.
 ANCHORS = ("licen", "copyright", "permission", "redistribut", "warrant", "all rights", "proprietary")
+NAMES = r"(?:^|[^a-z0-9])(?:public domain|creative commons|cc by|cc0|unlicense|[al]?gpl|mpl|epl|cddl|isc|bsd|gnu|mozilla public)(?:$|[^a-z])"
 UNKNOWN, MIN_PROBABILITY, MIN_SHARED, BUCKETS = "unknown", 0.6, 0.5, 64
 
 
@@ -181,6 +182,10 @@ def has_anchor(text: Column) -> Column:
     return out
 
 
+def is_notice(text: Column) -> Column:
+    return has_anchor(text) | F.rlike(text, F.lit(NAMES))
+
+
 def bucket_of(gram: str) -> int:
     """Sum of the text's first and last code and its length; the same in Spark as here."""
     return (ord(gram[0]) * 7 + ord(gram[-1]) * 3 + len(gram)) % BUCKETS
@@ -188,12 +193,10 @@ def bucket_of(gram: str) -> int:
 
 def _classify(line: Column, classes: list[str], tables: Column, bias: Column, templates: Column) -> Column:
     """struct(family, probability, confirmed) of a lower-cased paragraph; family is null for unknown."""
-    zero = F.array_repeat(F.lit(0.0), len(classes))
-
     def of_grams(g: Column) -> Column:
         code = lambda x: (F.ascii(x) * 7 + F.ascii(F.substring(x, -1, 1)) * 3 + F.length(x)) % BUCKETS
-        weights = lambda x: F.coalesce(F.try_element_at(F.get(tables, code(x)), x), zero)
-        logits = F.aggregate(g["all"], bias, lambda acc, x: F.zip_with(acc, weights(x), lambda a, b: a + b))
+        weights = F.filter(F.transform(g["all"], lambda x: F.try_element_at(F.get(tables, code(x)), x)), lambda v: v.isNotNull())
+        logits = F.aggregate(weights, bias, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
 
         def of_logits(z: Column) -> Column:
             best = F.array_position(z, F.array_max(z)).cast("int")
@@ -217,24 +220,26 @@ def _classify(line: Column, classes: list[str], tables: Column, bias: Column, te
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """docs plus n_licenses, n_confirmed, families (sorted, comma-joined), best_probability, hits (line:family:confirmed)."""
+    """docs plus n_licenses, n_confirmed, families (sorted, comma-joined), best_probability, hits (line:family:confirmed), n_unknown (notices of no family)."""
     classes, weights, bias = train()
     tables: list[dict] = [{} for _ in range(BUCKETS)]
     for g, v in weights.items():
         tables[bucket_of(g)][g] = v
     pairs = {f: sorted({g for t in texts for g in grams(t) if " " in g}) for f, texts in TEMPLATES.items()}
-    new = ("n_licenses", "n_confirmed", "families", "best_probability", "hits")
+    new = ("n_licenses", "n_confirmed", "families", "best_probability", "hits", "n_unknown")
     own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
     model = _literal(tables, "array<map<string,array<double>>>"), _literal(bias, "array<double>"), _literal(pairs, "map<string,array<string>>")
     lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(x.alias("line"), i.alias("at")))
-    found = F.transform(F.filter(lines, lambda x: has_anchor(x["line"])), lambda x: F.struct(x["at"].alias("at"), _classify(x["line"], classes, *model).alias("c")))
-    hits = F.when(has_anchor(text), F.filter(found, lambda x: x["c"]["family"].isNotNull()))
-    of_hits = lambda h: F.struct(
+    found = F.transform(lines, lambda x: F.struct(x["at"].alias("at"), _classify(x["line"], classes, *model).alias("c"), is_notice(x["line"]).alias("notice")))
+    of_hits = lambda h, n_unknown: F.struct(
         F.greatest(F.size(h), F.lit(0)).cast("long").alias("n_licenses"),
         F.greatest(F.size(F.filter(h, lambda x: x["c"]["confirmed"])), F.lit(0)).cast("long").alias("n_confirmed"),
         F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(h, lambda x: x["c"]["family"]))), ","), F.lit("")).alias("families"),
         F.coalesce(F.array_max(F.transform(h, lambda x: x["c"]["probability"])), F.lit(0.0)).alias("best_probability"),
         F.coalesce(F.array_join(F.transform(h, lambda x: F.concat_ws(":", x["at"].cast("string"), x["c"]["family"], x["c"]["confirmed"].cast("string"))), ","), F.lit("")).alias("hits"),
+        n_unknown.alias("n_unknown"),
     )
-    return docs.select(*own, _let(hits, of_hits).alias("__h")).select(*own, *[f"__h.{n}" for n in new])
+    is_hit = lambda x: x["c"]["family"].isNotNull()
+    of_found = lambda f: _let(F.filter(f, is_hit), lambda h: of_hits(h, F.size(F.filter(f, lambda x: ~is_hit(x) & x["notice"])).cast("long")))
+    return docs.select(*own, _let(found, of_found).alias("__h")).select(*own, *[f"__h.{n}" for n in new])

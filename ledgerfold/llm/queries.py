@@ -37,7 +37,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_licenses", "n_confirmed", "families", "best_probability", "hits")
+    return out.select("doc_id", "n_licenses", "n_confirmed", "families", "best_probability", "hits", "n_unknown")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,6 +134,15 @@ def test_secret_context_is_linear():
 # --- licences
 
 
+def test_licenses_without_an_anchor_and_of_other_families(spark):
+    texts = ["Code.\nDistributed under CC BY-SA 4.0.", "GPL v3 or later", "Released into the public domain.\nMore.", "Made available under the Eclipse Public License.", "The weather was fine.", None]
+    rows = licenses.scan(docs(spark, texts)).select("doc_id", "n_licenses", "families", "hits", "n_unknown").collect()
+    got = {x[0]: tuple(x)[1:] for x in rows}
+    assert got[0][:2] == (1, "creative-commons") and got[0][2].startswith("1:creative-commons:")
+    assert all(got[k] == (0, "", "", 1) for k in (1, 2, 3))
+    assert got[4] == got[5] == (0, "", "", 0)
+
+
 def test_licenses(spark):
     texts = [t for texts in licenses.TEMPLATES.values() for t in texts]
     prose = [*licenses.PROSE, "A wholly ordinary paragraph about the weather.", "He renewed his fishing license in May.", None, ""]

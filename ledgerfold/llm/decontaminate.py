@@ -17,6 +17,7 @@ columns are kept, but for those named like a result.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections import defaultdict
 
@@ -151,8 +152,8 @@ def _pass(shared):
             hit = {str(x) for x in hit}
             if spans_so_far is not None:
                 spans += [tuple(map(int, s.split(b":"))) for s in spans_so_far[i].split(b",") if s]
-                hit |= {s.decode() for s in items_so_far[i].split(b",") if s}
-            yield ",".join(f"{a}:{b}" for a, b in _merge(spans)), ",".join(sorted(hit)), len(words)
+                hit |= set(json.loads(items_so_far[i]))
+            yield ",".join(f"{a}:{b}" for a, b in _merge(spans)), json.dumps(sorted(hit)), len(words)
 
     return run
 
@@ -160,7 +161,7 @@ def _pass(shared):
 def _digest(share: int):
     def run(spans, items, counts):
         for s, i, n in zip(spans, items, counts):
-            yield _verdict(n, [tuple(map(int, x.split(b":"))) for x in s.split(b",") if x], {x.decode() for x in i.split(b",") if x}, share)
+            yield _verdict(n, [tuple(map(int, x.split(b":"))) for x in s.split(b",") if x], set(json.loads(i)), share)
 
     return run
 

@@ -62,6 +62,15 @@ def test_decontamination_equals_brute_force(spark, block_bytes):
     assert {x["doc_id"] for x in kept.collect()} == {k for k, t in enumerate(texts) if not brute_hits(t, items)[4]}
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 24, 40])
+def test_item_ids_of_any_text(spark, block_bytes):
+    items = [("a,b", "ab cd ef"), ("", "gh ij kl"), ('"', "mn op"), ("é,", "qr st uv"), ("a", "wx yz ab")]
+    texts = ["ab cd ef", "gh ij kl", "ab cd ef gh ij kl mn op qr st uv", "wx yz ab cd ef"]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {x["doc_id"]: tuple(x[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for x in decontaminate.contamination(docs(spark, texts), bench, block_bytes=block_bytes).collect()}
+    assert got == {k: brute_hits(t, items) for k, t in enumerate(texts)}
+
+
 # --- simhash
 
 

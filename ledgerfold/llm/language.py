@@ -4,7 +4,8 @@ A document is a mixture of languages: each byte trigram of its lower-cased
 text is drawn from language l with probability pi_l * P_l(trigram).
 Expectation-maximisation finds the shares pi; the set of languages is chosen
 by likelihood less a penalty for each language more (BIC; overlapping trigrams
-count for a third each). The prediction is the largest share of the set.
+count for a third each). Sets of every size are tried, the largest shares of
+the fit to all languages. The prediction is the largest share of the set.
 
 P_l is learned from at most `per_language` documents of each language, picked
 by a hash (bounded sample, a documented parameter), counted in a distributed
@@ -28,7 +29,7 @@ from .common import add_columns, id_remainder
 
 CELLS = 1 << 16
 PER_LANGUAGE = 3000
-STEPS, MAX_LANGUAGES, SMOOTHING = 12, 4, 0.5
+STEPS, SMOOTHING = 12, 0.5
 
 
 def trigrams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +92,7 @@ def infer(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     all_shares, all_value = mixture(p, n)
     if all_value - penalty > most:
         order = np.argsort(-all_shares)
-        for k in range(2, min(len(p), MAX_LANGUAGES) + 1):
+        for k in range(2, len(p) + 1):
             s, value = mixture(p[order[:k]], n)
             if value - (k - 1) * penalty > most:
                 chosen, most, shares = order[:k], value - (k - 1) * penalty, s

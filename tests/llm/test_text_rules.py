@@ -185,6 +185,19 @@ def test_language_on_held_out_rows(spark):
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.97 * len(held)
 
 
+def test_language_set_may_hold_all_languages():
+    import numpy as np
+
+    p = np.full((7, 70), 0.001)
+    for k in range(7):
+        p[k, 10 * k : 10 * k + 10] = 1
+    p /= p.sum(axis=1, keepdims=True)
+    for size in range(1, 8):
+        which, shares = language.infer(p, np.repeat(np.where(np.arange(7) < size, 30, 0), 10))
+        assert sorted(which.tolist()) == list(range(size))
+        assert np.allclose(shares, 1 / size, atol=0.02)
+
+
 def test_language_mixture(spark):
     sf = "/root/testdata/sf0.01"
     d = spark.read.parquet(f"{sf}/documents.parquet").where("n_chars between 1500 and 4000")

@@ -30,6 +30,8 @@ from ledgerfold.streaming.source import NAME, register
 
 @dataclass(frozen=True)
 class BatchConfig:
+    """max_revisions bounds the batches of deltas and of listings up to ten times as long; a longer listing is one batch with one cursor."""
+
     window_ms: int = BATCH_WINDOW_MS
     max_revisions: int = BATCH_MAX
 

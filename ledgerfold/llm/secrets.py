@@ -1,20 +1,25 @@
 """Secret scans: base patterns, and zstandard novelty for strings they don't know.
 
-A candidate is a long string of token characters, letters and digits mixed,
-in sensitive context: it follows a sensitive word on its line; or its line is
-only a value and comes after a line that ends with a sensitive word, blank and
-value lines between them apart; or it is in the body of a PEM private key. A
-value with a label of its own is judged by that.
+A candidate is a long string of token characters in sensitive context: it
+follows a sensitive word on its line; or its line is only a value and comes
+after a line that ends with a sensitive word, blank and value lines between
+them apart; or it is in the body of a PEM private key. A value with a label of
+its own is judged by that.
 
 A candidate's novelty is what it adds to the compressed size of the code around
-it, with a dictionary of common identifiers primed: names, paths and repeated
-values cost little, random keys about a byte for each character or six bits at
-least. The places of the same string in sensitive context are taken out of the
-code around, so that two uses of a secret don't hide each other; a string that
-also stands there in the open stays known by that. The values of one key or
-label are judged as one value too, since random lines make each other's letters
-cheap. Candidates that cost MIN_NOVELTY bytes a character or more, alone or as
-one, are reported as kind "novel", unless a base span holds them.
+it, with a dictionary of common identifiers primed. The dictionary is trained
+on the names of Python's standard library, so it brings the letter statistics
+of identifiers too: names, paths and repeated values cost little, random keys
+six bits a character or more, even when they are letters only. Constants and
+CamelCase count in small letters, as they are names; digits alone carry too few
+bits and are no candidates; a short surrounding is filled up with plain code,
+as tiny frames cost more. The places of the same string in sensitive context
+are taken out of the code around, so that two uses of a secret don't hide each
+other; a string that also stands there in the open stays known by that. The
+values of one key or label are judged as one value too, since random lines make
+each other's letters cheap. Candidates that cost MIN_NOVELTY bytes a character
+or more, alone or as one, are reported as kind "novel", unless a base span
+holds them.
 
 One narrow pass; nothing is shuffled. Spans are code points, end exclusive.
 
@@ -25,9 +30,15 @@ stay, those named like a result are replaced.
 
 from __future__ import annotations
 
+import builtins
 import hashlib
+import importlib
+import keyword
+import random
 import re
+import sys
 from bisect import bisect_left, bisect_right
+from functools import lru_cache
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -42,11 +53,13 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Words near which a string is worth testing, in lower case.
 SENSITIVE = ("key", "auth", "cred", "passw", "secret", "token", "bearer", "private", "session", "signature", "pwd")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Words that begin with a capital: two small letters follow each.
+CAMEL = re.compile(r"(?:[A-Z]?[a-z]{2,}[^A-Za-z]*+)++")
 #: A line that is only a value, quoted, listed or continued; a PEM private key up to what can't be in its body. Both in linear time.
 VALUE_LINE = re.compile(r"""[\s>#*/"'(+-]*+[a-z0-9+/_=-]++(?:\\n)?+["']?+[\s,;)\\+]*+""", re.A | re.I)
 PEM = re.compile(r"""-{4,5} ?begin [a-z0-9 ]*private key[a-z0-9 ]*-{4,5}(?:(?:proc-type|dek-info|comment|version|hash|charset):[^\n]*|[a-z0-9+/=_\s"',>#*-]|\\[nr])*+""", re.A)
 PEM_END = re.compile("-{4,5} ?end ")
-BEFORE, AROUND, MIN_NOVELTY, LEVEL = 48, 256, 0.7, 3
+BEFORE, AROUND, MIN_NOVELTY, LEVEL, DICTIONARY_BYTES = 48, 256, 0.72, 3, 24_000
 IDENTIFIERS = b"""
  import export require return function const let var class public private protected static final void string integer boolean
  true false null none self this new delete def async await yield lambda try except catch finally raise throw if else elif for while
@@ -60,15 +73,50 @@ IDENTIFIERS = b"""
 """
 
 
+#: The modules whose names are learned as identifiers.
+MODULES = (
+    "os os.path socket http.client http.server urllib.request urllib.parse ssl email.message logging threading subprocess json sqlite3 datetime "
+    "collections asyncio argparse configparser hashlib hmac ftplib smtplib unittest xml.dom.minidom zipfile shutil inspect decimal"
+).split()
+#: Plain code around a candidate that has little around it.
+FILL = """
+for row in table.rows():
+    total += row.amount * rate
+    if row.kind == "late" and row.days > 30:
+        report.add(row, note="second letter was sent")
+print(f"{total:.2f} over {len(table)} rows, see the chart on page two")
+# the plan for next week is to move the old jobs to the new queue
+"""
+
+
+@lru_cache(maxsize=1)
+def dictionary() -> bytes:
+    """A zstandard dictionary of identifiers: the parts of standard names, joined in the usual four styles."""
+    names = set(keyword.kwlist) | set(dir(builtins)) | set(sys.stdlib_module_names)
+    for m in map(importlib.import_module, MODULES):
+        names |= set(dir(m)).union(*(dir(x) for x in vars(m).values() if isinstance(x, type)))
+    parts = sorted({w.lower() for n in names for w in re.findall("[A-Z]?[a-z]{2,}|[A-Z]{3,}", n)})
+    pick = random.Random(0)
+
+    def name() -> str:
+        w = pick.choices(parts, k=pick.randrange(1, 5))
+        return ("_".join(w), w[0] + "".join(x.title() for x in w[1:]), "-".join(w), "_".join(w).upper())[pick.randrange(4)]
+
+    samples = [" ".join(name() for _ in range(8)).encode() for _ in range(3000)] + [x for x in IDENTIFIERS.splitlines() if x] * 4
+    return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
+
+
 class Novelty:
-    def __init__(self):
-        primed = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.of = zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False, write_checksum=False).compress
+    def __init__(self, trained: bytes | None = None):
+        primed = zstandard.ZstdCompressionDict(trained or dictionary(), dict_type=zstandard.DICT_TYPE_FULLDICT)
+        primed.precompute_compress(level=LEVEL)
+        self.of = zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
     def __call__(self, before: str, candidate: str, after: str) -> float:
         """Marginal compressed bytes a character, against the code around the candidate."""
-        around = f"{before}\n{after}\n".encode()
-        return (len(self.of(around + candidate.encode())) - len(self.of(around))) / len(candidate)
+        around = f"{FILL if len(before) + len(after) < AROUND else ''}{before}\n{after}\n".encode()
+        shown = candidate.lower() if candidate.isupper() or CAMEL.fullmatch(candidate) else candidate
+        return (len(self.of(around + shown.encode())) - len(self.of(around))) / len(candidate)
 
 
 def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
@@ -154,7 +202,7 @@ def novel_spans(text: str, low: str, known: list[tuple[int, int, int]], novelty:
         a, b = m.span()
         s = m[0]
         before = bisect_left(starts, b)
-        if s.isalpha() or s.isdigit() or not any(c.isdigit() for c in s) or (before and ends[before - 1] > a):
+        if s.isdigit() or (before and ends[before - 1] > a):
             continue
         group = sensitive(a)
         if group:
@@ -185,8 +233,10 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """docs plus n_assign, n_access, n_hex, n_novel, base_sha256, spans."""
 
+    trained = dictionary()
+
     def run(texts):
-        novelty = Novelty()
+        novelty = Novelty(trained)
         for raw in texts:
             text = raw.decode() if raw else ""
             low = text.lower()

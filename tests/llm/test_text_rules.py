@@ -80,6 +80,80 @@ def test_secret_base_spans(spark):
     assert rows[6]["n_assign"] == 1
 
 
+def brute_base(text):
+    """Spans of the three base kinds, character by character."""
+    token, hexes, out = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), set("0123456789abcdef"), []
+    low, n = "".join(c.lower() if c.isascii() else c for c in text), len(text)
+
+    def run(at, allowed):
+        while at < n and text[at] in allowed:
+            at += 1
+        return at
+
+    def value(at):
+        """(start, end) of the value after a word that ends at `at`; each optional part is there if it can be."""
+        at += at < n and text[at] in "\"'"
+        at = run(at, " ")
+        if at == n or text[at] not in ":=":
+            return None
+        at = run(at + 1, " ")
+        at += at < n and text[at] in "\"'"
+        return (at, run(at, token)) if at < n and text[at] in token else None
+
+    at = 0
+    while at < n:
+        word = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(w, at)), None)
+        got = value(at + len(word)) if word else None
+        if got and got[1] - got[0] >= 8:
+            out.append((at, "assign", got[1]))
+        at = got[1] if got else at + 1
+    at = 0
+    while at < n:
+        end = run(at + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")) if text.startswith("AKIA", at) else at
+        if end >= at + 16:
+            out.append((at, "access", end))
+        at = end if end > at + 4 else at + 1
+    at = 0
+    while at < n:
+        end = run(at, hexes)
+        if end >= at + 32:
+            out.append((at, "hex", end))
+        at = max(end, at + 1)
+    return sorted(out, key=lambda x: (x[0], ("assign", "access", "hex").index(x[1])))
+
+
+def test_secret_base_spans_equal_brute_force(spark):
+    r = random.Random(11)
+    pieces = ["password", "Passwd", "SECRET", "token", "api_key", "ApiKey", "AKIA", "AKIAAKIA", " ", "  ", ":", "=", '"', "'", "\n", "é", "ſ", "0123456789abcdef", "deadbeef" * 4, "AbC1", "x", "ZZ9/+", ".", "-", "12345678"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randrange(1, 40))) for _ in range(400)]
+    rows = {x["doc_id"]: x for x in secrets.scan(docs(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        spans = brute_base(t)
+        said = ",".join(f"{kind}:{a}:{b}" for a, kind, b in spans)
+        assert [rows[k][c] for c in ("n_assign", "n_access", "n_hex")] == [sum(x[1] == kind for x in spans) for kind in ("assign", "access", "hex")], t
+        assert rows[k]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest(), t
+        assert [x for x in rows[k]["spans"].split(",") if x and not x.startswith("novel")] == [x for x in said.split(",") if x], t
+
+
+def test_secret_novelty_on_planted_keys_and_plain_names():
+    """Keys of every alphabet are found, names that the dictionary has not learned are not."""
+    import tokenize
+
+    r, novelty = random.Random(5), secrets.Novelty()
+    small, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = [small, small.upper(), small + small.upper(), small + small.upper() + digits, small + small.upper() + digits + "+/", small + digits]
+    words = sorted({w for m in ("fractions", "tokenize", "mailbox", "imaplib", "tarfile", "pickletools", "gettext", "statistics") for n in dir(__import__(m)) for w in re.findall("[a-z]{3,}", n.lower())})
+    assert len(words) > 300 and tokenize
+    contexts = ['def connect(host):\n    session = open_session(host)\n    auth_key = "{}"\n    return session\n', "Everyone agreed on the plan. The private key is {} and should be kept safe. Then we went home.", "auth {} end", "key: {}"]
+    for context in contexts:
+        found = lambda s: bool(secrets.novel_spans(t := context.format(s), t.lower(), [], novelty))  # noqa: B023, E731
+        for alphabet in alphabets:
+            got = sum(found("".join(r.choice(alphabet) for _ in range(r.randrange(20, 41)))) for _ in range(150))
+            assert got >= 0.95 * 150, (context, alphabet, got)
+        names = [style([r.choice(words) for _ in range(r.randrange(4, 7))]) for style in ("_".join, "-".join, lambda w: "_".join(w).upper(), lambda w: w[0] + "".join(x.title() for x in w[1:])) for _ in range(100)]
+        assert sum(map(found, names)) <= 0.1 * len(names), (context, [n for n in names if found(n)][:9])
+
+
 def test_secret_novelty(spark):
     r = random.Random(2)
     key = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))

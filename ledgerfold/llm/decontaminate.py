@@ -97,9 +97,9 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, share: int = 20) -> DataFrame:
-    """docs plus n_words, n_hit, n_items, items_sha256, contaminated.
+    """docs plus n_words, n_hit, n_items, items_sha256, contaminated, longest_hit.
 
-    contaminated: n_hit > 0 and share * n_hit >= n_words.
+    contaminated: n_hit > 0 and share * n_hit >= n_words. longest_hit: hit words on end, at most.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id"), F.col("text").cast("binary").alias("text"))
@@ -115,7 +115,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return add_columns(out, [n for n, _ in state], _digest(share), _FIELDS).drop(*[n for n, _ in state]) if n_blocks > 1 else _single(docs, shared, share)
 
 
-_FIELDS = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())]
+_FIELDS = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("longest_hit", T.LongType())]
 
 
 def _find(tables: list[WuManber], words: list[bytes]) -> tuple[list, set]:
@@ -128,8 +128,9 @@ def _find(tables: list[WuManber], words: list[bytes]) -> tuple[list, set]:
 
 
 def _verdict(n: int, spans: list, items: set[str], share: int) -> tuple:
-    n_hit = sum(b - a for a, b in _merge(spans))
-    return n, n_hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), n_hit > 0 and share * n_hit >= n
+    runs = [b - a for a, b in _merge(spans)]
+    n_hit = sum(runs)
+    return n, n_hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), n_hit > 0 and share * n_hit >= n, max(runs, default=0)
 
 
 def _single(docs: DataFrame, shared, share: int) -> DataFrame:
@@ -166,11 +167,17 @@ def _digest(share: int):
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, **how) -> DataFrame:
+    """The documents without a benchmark passage, with their own columns.
+
+    A document goes if `window` or more words on end are benchmark words (any
+    hit of an item of that length, however long the document), or if it is
+    contaminated by share. A shorter item alone, which may be an everyday
+    phrase, counts only by share.
+    """
     own = [c for c in docs.columns]
-    marked = contamination(docs.select(*[F.col(f"`{c}`").alias(f"__d{i}") for i, c in enumerate(own)], F.col("text")), benchmark, **how)
-    return marked.where(~F.col("contaminated")).select(*[F.col(f"__d{i}").alias(c) for i, c in enumerate(own)])
+    marked = contamination(docs.select(*[F.col(f"`{c}`").alias(f"__d{i}") for i, c in enumerate(own)], F.col("text")), benchmark, window=window, **how)
+    return marked.where(~F.col("contaminated") & (F.col("longest_hit") < window)).select(*[F.col(f"__d{i}").alias(c) for i, c in enumerate(own)])
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"

@@ -62,6 +62,22 @@ def test_decontamination_equals_brute_force(spark, block_bytes):
     assert {x["doc_id"] for x in kept.collect()} == {k for k, t in enumerate(texts) if not brute_hits(t, items)[4]}
 
 
+def test_passages_in_long_texts_are_cleaned(spark):
+    """A passage of a window's length goes however long its document; everyday phrases and shorter runs stay."""
+    r = random.Random(21)
+    word = lambda: r.choice("ab cd ef gh ij kl mn op qr st".split()) + str(r.randrange(900))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([13, 20, 59, 14])] + [(50, "ab cd")]
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage = lambda k, a, n: " ".join(items[k][1].split()[a : a + n])
+    texts = [f"{prose(3000)} {passage(k, 0, 13)} {prose(3000)}" for k in range(4)]
+    texts += [f"{prose(900)} {passage(2, 17, 13)}", f"{passage(2, 0, 59)} {prose(20_000)}"]
+    clean = [f"{prose(3000)} {passage(2, 5, 12)} {prose(3000)}", f"{prose(500)} AB, cd! {prose(500)}", prose(40), "", None]
+    d = docs(spark, texts + clean)
+    for block_bytes in (1 << 24, 300):
+        kept = decontaminate.clean(d, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes)
+        assert sorted(x["doc_id"] for x in kept.collect()) == list(range(len(texts), len(texts + clean)))
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 24, 40])
 def test_item_ids_of_any_text(spark, block_bytes):
     items = [("a,b", "ab cd ef"), ("", "gh ij kl"), ('"', "mn op"), ("é,", "qr st uv"), ("a", "wx yz ab")]
@@ -253,7 +269,7 @@ def test_toxicity_on_held_out_rows(spark):
     good, bad = [s for s, y in held if not y], [s for s, y in held if y]
     auc = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(good) * len(bad))
     assert auc > 0.95, auc
-    assert sum(s >= 0.7 for s in good) <= 0.01 * len(good) and sum(s >= 0.7 for s in bad) >= 0.5 * len(bad)
+    assert sum(s >= 0.7 for s in good) <= 0.01 * len(good) and sum(s >= 0.7 for s in bad) >= 0.9 * len(bad)
 
 
 def test_toxicity_without_labels(spark):

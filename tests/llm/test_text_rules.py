@@ -246,6 +246,89 @@ def test_license_scores_equal_numpy(spark):
             assert abs(p.max() - got[k]) < 1e-6
 
 
+#: Notices and prose that no template holds.
+HELD_OUT = [
+    ("apache-2.0","This file is licensed to you under the Apache License, Version 2.0; you may not use it except in compliance with that License."),
+    ("apache-2.0","Distributed under the Apache License 2.0, see the LICENSE file."),
+    ("apache-2.0","Code in this folder is available under the Apache License, version 2.0"),
+    ("mit","This code is licensed under the MIT license, see LICENSE."),
+    ("mit","Permission is granted, free of charge, to any person who obtains a copy of this software, to use, copy, modify, merge and sell copies of it without restriction."),
+    ("mit","Distributed under the terms of the MIT License."),
+    ("bsd","Distributed under the BSD license."),
+    ("bsd","Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("bsd","Redistributions in binary form must reproduce the copyright notice and the disclaimer in the documentation."),
+    ("bsd","Neither the names of the authors nor those of the contributors may be used to endorse products derived from this software without written permission."),
+    ("gpl","This program is distributed under the terms of the GNU General Public License version 2."),
+    ("gpl","You can redistribute this program under the GNU General Public License, version 3 or any later version."),
+    ("gpl","You should have received a copy of the GNU General Public License with this package; if not, write to the Free Software Foundation."),
+    ("lgpl","This library is distributed under the terms of the GNU Lesser General Public License."),
+    ("lgpl","You may use this library under the GNU Lesser General Public License, either version 2.1 or any later version."),
+    ("mpl-2.0","This file is subject to the Mozilla Public License 2.0; a copy is at mozilla.org/MPL/2.0."),
+    ("mpl-2.0","The contents of this file are subject to the terms of the Mozilla Public License, version 2.0"),
+    ("creative-commons","This document is available under a Creative Commons Attribution-NonCommercial 4.0 license."),
+    ("creative-commons","Text is available under the Creative Commons Attribution-ShareAlike License."),
+    ("creative-commons","Photos are licensed under CC BY-SA 4.0."),
+    ("proprietary","Copyright 2019 Foo Inc. All rights reserved."),
+    ("proprietary","This document is confidential and proprietary; unauthorized copying is strictly prohibited."),
+    ("proprietary","No part of this book may be reproduced in any form without the written permission of the author."),
+]
+BLIND = [
+    ("apache-2.0", "All sources are released under the terms of the Apache License, Version 2.0."),
+    ("apache-2.0", "You may not use this file except in compliance with the Apache License; obtain a copy at apache.org/licenses/LICENSE-2.0"),
+    ("mit", "MIT License"),
+    ("mit", "The above copyright notice and this permission notice must be included in all copies of the Software."),
+    ("bsd", "Redistribution and use, with or without modification, are permitted if the following conditions are met:"),
+    ("bsd", "This file is released under the 3-Clause BSD License."),
+    ("gpl", "This file is part of a program that is licensed under the GNU General Public License, version 2."),
+    ("gpl", "It is free software: redistribute it and/or modify it under the terms of the GNU General Public License."),
+    ("lgpl", "Released under the GNU Lesser General Public License version 3."),
+    ("mpl-2.0", "Released under the Mozilla Public License, v. 2.0."),
+    ("creative-commons", "Except where noted, content is licensed under a Creative Commons Attribution 3.0 License."),
+    ("creative-commons", "Images: CC BY 4.0"),
+    ("proprietary", "All rights reserved by the publisher."),
+    ("proprietary", "Unauthorized copying or distribution of this document is prohibited. Confidential."),
+]
+HARMLESS = [
+    "The city issues a fishing license to any resident who asks for one.",
+    "He gave his permission to use the car without restriction.",
+    "The copyright office opens at nine and closes at five.",
+    "The software runs on any computer and needs no further conditions.",
+    "The general public may visit the source of the river free of charge.",
+    "She read a common creative story and wrote an international version.",
+    "You may not use this door except in case of fire.",
+    "A copy of the report was sent to the foundation for review.",
+    "The form asks for the name of the contributor and the date.",
+    "The version of the story that he told was subject to doubt.",
+]
+
+
+def test_licenses_held_out_and_wrapped(spark):
+    """Families of notices that are not templates, one by one and wrapped to lines, with comment marks."""
+    import textwrap
+
+    wrapped = [(f, "Some text here.\n\n" + "\n".join(mark + x for x in textwrap.wrap(t, width)) + "\n\nMore text follows.") for f, texts in licenses.TEMPLATES.items() for t in texts if len(t) > 72 for width, mark in ((72, ""), (60, " * "), (76, "# "), (40, "// "))]
+    cases = wrapped + HELD_OUT + BLIND
+    rows = {x["doc_id"]: x for x in licenses.scan(docs(spark, [t for _, t in cases] + HARMLESS)).collect()}
+    right = [rows[k]["families"] == f for k, (f, _) in enumerate(cases)]
+    n = len(wrapped)
+    assert all(right[:n]) and all(rows[k]["hits"].startswith("2:") for k in range(n))
+    assert sum(right[n:]) >= 0.9 * len(right[n:]), [c for c, ok in zip(cases[n:], right[n:]) if not ok]
+    wrong = [HARMLESS[k - len(cases)] for k in range(len(cases), len(cases) + len(HARMLESS)) if rows[k]["families"]]
+    assert len(wrong) <= 1, wrong  # one sentence is half an Apache notice
+
+
+def test_license_paragraphs(spark):
+    """Lines are joined where a sentence goes on; hits count lines of the text."""
+    notice = "Released under\nthe MIT\nLicense."
+    texts = [f"One.\n{notice}\nTwo.\n\n{notice}", f"A heading\n{'word ' * 60}\n{'other ' * 60}\nReleased under the MIT License.", "Released under\n\nthe MIT License", "x\x01Released under the MIT License.\n", "\n\n", "#\n# Released under the\n#\n# MIT License"]
+    got = [(x["n_licenses"], x["hits"]) for x in licenses.scan(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got[0] == (2, "1:mit:true,6:mit:true")
+    assert got[1] == (1, "3:mit:true")  # the paragraph is of no family, its last line is
+    assert got[2][0] == 1 and got[2][1].startswith("2:mit")
+    assert got[3][1].startswith("0:mit") and got[4] == (0, "")
+    assert got[5][1].startswith("3:mit")
+
+
 # --- language
 
 

@@ -14,8 +14,15 @@ distributed aggregation, and sources stay a distributed table.
 Copies: floor(rate) for every document and one more for some, so that each
 source's words come as near its target as its sizes allow: error diffusion
 from large sizes to small in each source's histogram, then single moves. The
-documents that get the extra copy are those with the smallest content hash, ranked in two steps
-(1024 hash ranges a class), so a class with a third of all rows is spread out.
+documents of a class (source, size) that get the extra copy are those with the
+smallest content hash. What is passed on to the documents is only each class's
+cut-off hash, so documents are not moved: the cut-off's range is found among
+1024 sums, and only the hashes of that range are ranked. Rows that tie at the
+cut-off are copies of one row; they are counted in two steps, by partition.
+
+Scale: sources are ranked by range partitions and their targets found by
+sums, so no task reads all of them. The table of classes is broadcast up to
+BROADCAST_CLASSES rows, beyond that it is joined by shuffle.
 
 Defined results: null text has size 0 and is taken 0 times; a null source is a
 source of its own; repeated rows are ranked like others; an empty table gives
@@ -33,6 +40,8 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, cut
 
 WEIGHTS, BUDGET, CAP, RANGES = (3, 1, 2), 1.5, 2, 1024
+#: Classes of some 100 bytes each that may be broadcast.
+BROADCAST_CLASSES = 100_000
 
 
 def word_count(text):
@@ -40,29 +49,39 @@ def word_count(text):
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """docs plus __src (orders nulls last), __size, __key and __range."""
+    """docs plus __src (orders nulls last), __size, __key and __range (one of RANGES, in the order of keys)."""
     src = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
     key = F.xxhash64(F.col("doc_id").cast("string"), "source", "text")
     out = docs.withColumns({"__src": src, "__size": word_count(F.col("text")), "__key": key})
-    return out.withColumn("__range", F.shiftrightunsigned(F.col("__key"), 64 - 10))
+    return out.withColumn("__range", F.shiftright(F.col("__key"), 64 - 10))
+
+
+def _ranked(sources: DataFrame) -> DataFrame:
+    """sources plus rank (from 0) in the order of src: by range partition, then within it."""
+    part = cut(sources.repartitionByRange("src").withColumn("part", F.spark_partition_id()))
+    counts = part.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("low"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(W.orderBy("low").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a partition
+    inside = part.withColumn("in", F.row_number().over(W.partitionBy("part").orderBy("src")) - 1)
+    return inside.join(before, "part").withColumn("rank", F.col("before") + F.col("in")).drop("part", "before", "in")
 
 
 def targets(hist: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
-    """src, source_size, target: one row a source."""
-    one = W.orderBy("src")
-    by_level = W.orderBy("level", "src")
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(one) - 1, F.lit(len(weights))) + 1).cast("int"))
+    """src, source_size, target: one row a source.
+
+    The level at which words are poured by weight rises until the budget is
+    spent; a step sums the sources that are full and the weights of the others.
+    """
     sums = hist.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    s = sums.withColumn("w", w).withColumn("most", cap * F.col("source_size")).withColumn("level", F.col("most") / F.col("w"))
-    before = by_level.rowsBetween(W.unboundedPreceding, -1)
-    every = W.partitionBy()
-    s = s.withColumn("left", budget * F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-    s = s.withColumn("w_left", F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    s = s.withColumn("full", F.col("level") * F.col("w_left") <= F.col("left"))  # full even if all before it are
-    open_ = ~F.col("full")
-    rest = budget * F.sum("source_size").over(every) - F.coalesce(F.sum(F.when(F.col("full"), F.col("most"))).over(every), F.lit(0.0))
-    share = rest / F.sum(F.when(open_, F.col("w"))).over(every)
-    return s.withColumn("target", F.when(F.col("full"), F.col("most").cast("double")).otherwise(share * F.col("w"))).select("src", "source_size", "target")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int"))
+    s = cut(_ranked(sums).select("src", "source_size", w.alias("w"), (cap * F.col("source_size")).cast("double").alias("most")))
+    total, level, n_full = s.agg(F.sum("source_size")).first()[0] or 0, 0.0, -1
+    while True:
+        full = F.col("most") <= level * F.col("w")
+        n, spent, left = s.agg(F.count(F.when(full, 1)), F.coalesce(F.sum(F.when(full, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0.0))).first()
+        if n == n_full or not left:
+            break
+        n_full, level = n, (budget * total - spent) / left
+    return s.select("src", "source_size", F.least(F.col("most"), F.lit(float(level)) * F.col("w")).alias("target"))
 
 
 def tilts(hist: DataFrame, goals: DataFrame, cap: float = CAP, max_steps: int = 80, tolerance: float = 1e-9) -> DataFrame:
@@ -139,24 +158,50 @@ def _copies(classes: DataFrame, cap: int) -> DataFrame:
     return classes.groupBy("src").applyInPandas(run, "src string, size long, base long, extra long, source_size long, target double")
 
 
+def _cut_offs(keys: DataFrame, fine: DataFrame, classes: DataFrame) -> DataFrame:
+    """classes plus key (the last hash that gets the extra copy), of_ties (how many rows of that hash do) and ties (of how many)."""
+    earlier = W.partitionBy("src", "size").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    cells = fine.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(classes.where(F.col("extra") != 0).select("src", "size", F.abs("extra").alias("want")), ["src", "size"])
+    cells = cells.where((F.col("before") < F.col("want")) & (F.col("want") <= F.col("before") + F.col("n"))).select("src", "size", "range", (F.col("want") - F.col("before")).alias("need"))
+    near = keys.join(cells, ["src", "size", "range"]).groupBy("src", "size", "need", "key").agg(F.count(F.lit(1)).alias("ties"))
+    lower = W.partitionBy("src", "size").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
+    at = near.withColumn("of_ties", F.col("need") - F.coalesce(F.sum("ties").over(lower), F.lit(0))).where((F.col("of_ties") > 0) & (F.col("of_ties") <= F.col("ties")))
+    return classes.join(at.select("src", "size", "key", "of_ties", "ties"), ["src", "size"], "left")
+
+
+def _tied(rows: DataFrame) -> DataFrame:
+    """rows plus __more: whether a row is among the first __of_ties of its hash. Rows of one hash are numbered by partition, then within it."""
+    key = ["__src", "__size", "__key"]
+    held = cut(rows).withColumn("__part", F.spark_partition_id())
+    counts = held.groupBy(*key, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select(*key, "__part", F.coalesce(F.sum("__n").over(W.partitionBy(*key).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    number = F.col("__before") + F.row_number().over(W.partitionBy(*key, "__part").orderBy(F.lit(0)))
+    return held.join(before, [*key, "__part"]).withColumn("__more", number <= F.col("__of_ties")).drop("__part", "__before")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP) -> DataFrame:
     """docs plus size, source_size, target, copies, taken."""
     new = ("size", "source_size", "target", "copies", "taken")
     own = [c for c in docs.columns if c.lower() not in new]
     marked = _marked(docs.select(*[F.col(f"`{c}`") for c in own]))
-    fine = cut(marked.groupBy(F.col("__src").alias("src"), F.col("__size").alias("size"), F.col("__range").alias("range")).agg(F.count(F.lit(1)).alias("n")))
+    keys = cut(marked.select(F.col("__src").alias("src"), F.col("__size").alias("size"), F.col("__range").alias("range"), F.col("__key").alias("key")))
+    fine = cut(keys.groupBy("src", "size", "range").agg(F.count(F.lit(1)).alias("n")))
     hist = cut(fine.groupBy("src", "size").agg(F.sum("n").alias("n")))
     goals = cut(targets(hist, weights, budget, cap))
     tilt = tilts(hist, goals, cap)
     rate = F.when(F.col("source_size") == 0, F.lit(1.0)).when(F.col("target") >= cap * F.col("source_size"), F.lit(float(cap)))
     rate = rate.otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(50.0)))))
     classes = hist.join(goals, "src").join(tilt, "src", "left").withColumn("rate", rate).select("src", "size", "n", "rate", "source_size", "target")
-    classes = cut(_copies(classes, cap))
-    earlier = W.partitionBy("src", "size").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    plan = fine.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(classes, ["src", "size"])
-    plan = plan.select(F.col("src").alias("__src"), F.col("size").alias("__size"), F.col("range").alias("__range"), "before", "base", "extra", "source_size", "target")
-    rank = F.col("before") + F.row_number().over(W.partitionBy("__src", "__size", "__range").orderBy("__key"))
-    out = marked.join(plan, ["__src", "__size", "__range"]).withColumn("copies", F.col("base") + F.when(rank <= F.abs("extra"), F.signum("extra").cast("long")).otherwise(F.lit(0)))
+    plan = cut(_cut_offs(keys, fine, cut(_copies(classes, cap))))
+    n_classes, any_ties = plan.agg(F.count(F.lit(1)), F.count(F.when(F.col("of_ties") < F.col("ties"), 1))).first()
+    named = plan.select(F.col("src").alias("__src"), F.col("size").alias("__size"), "base", "extra", "source_size", "target", F.col("key").alias("__last"), F.col("of_ties").alias("__of_ties"), F.col("ties").alias("__ties"))
+    joined = marked.join(F.broadcast(named) if n_classes <= BROADCAST_CLASSES else named, ["__src", "__size"])
+    tied = (F.col("__key") == F.col("__last")) & (F.col("__of_ties") < F.col("__ties"))
+    out = joined.withColumn("__more", F.coalesce(F.col("__key") <= F.col("__last"), F.lit(False)))
+    if any_ties:
+        out = out.where(~F.coalesce(tied, F.lit(False))).unionByName(_tied(joined.where(tied)))
+    copies = F.col("base") + F.when(F.col("__more"), F.signum("extra").cast("long")).otherwise(F.lit(0))
+    out = out.withColumn("copies", copies)
     return out.select(*[F.col(f"`{c}`") for c in own], F.col("__size").alias("size"), "source_size", "target", "copies", (F.col("__size") * F.col("copies")).alias("taken"))
 
 

@@ -246,6 +246,33 @@ def test_mix_meets_its_targets(spark):
     assert out.columns == d.columns and out.count() == sum(copies.values())
 
 
+def test_mix_of_repeated_rows_and_many_sources(spark):
+    """Equal rows share an extra copy exactly; sources are weighed by rank across partitions; texts may be null."""
+    r = random.Random(8)
+    names = [f"s{k:03d}" for k in range(120)] + ["é", "Z", None]
+    rows = [(k, " ".join("w" * r.randrange(1, 9)), r.choice(names)) for k in range(900)] + [(5000, "one two three", "s000")] * 37 + [(None, "four five", None)] * 9 + [(6000, None, "Z"), (6001, "", "quiet")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = lambda t: len((t or "").split())
+    for budget in (1.5, 0.4):
+        goal, sums, taken, copies = {}, defaultdict(int), defaultdict(int), defaultdict(list)
+        for _, t, s in rows:
+            sums[s] += size(t)
+        got = mixing.mix(d, budget=budget).collect()
+        assert len(got) == len(rows)
+        for x in got:
+            assert 0 <= x["copies"] <= 2 and x["taken"] == x["copies"] * size(x["text"]) and x["source_size"] == sums[x["source"]]
+            taken[x["source"]] += x["taken"]
+            goal[x["source"]] = x["target"]
+            copies[x["doc_id"], x["text"]].append(x["copies"])
+        if budget == 1.5:
+            want = brute_targets(sums)
+            assert all(abs(goal[s] - want[s]) < 1e-6 * max(1, want[s]) for s in sums)
+        assert all(abs(taken[s] - goal[s]) <= max(3, 0.01 * goal[s]) for s in sums if s != "quiet")
+        again = mixing.mix(d.repartition(5), budget=budget).collect()
+        assert sorted((str(x["doc_id"]), x["taken"]) for x in again) == sorted((str(x["doc_id"]), x["taken"]) for x in got)
+        assert all(max(c) - min(c) <= 1 for c in copies.values())
+
+
 def test_tilts_are_entropy_balanced(spark):
     hist = spark.createDataFrame([("0a", 10, 5), ("0a", 100, 5), ("0b", 3, 9)], "src string, size long, n long")
     goals = spark.createDataFrame([("0a", 550, 300.0), ("0b", 27, 40.0)], "src string, source_size long, target double")

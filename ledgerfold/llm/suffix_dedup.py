@@ -46,8 +46,8 @@ hash, strings by 80; two different ones are taken for equal with a chance of
 from __future__ import annotations
 
 import hashlib
-import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +64,6 @@ PASSAGE, ANCHOR = 50, 8
 BLOCK_BYTES = 8 << 20
 #: Outer strings of one half from which on its strings are spread by fingerprint.
 HOT = 4096
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _B = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _TEXT = [("uid", "<i8"), ("check", "<i8")]
@@ -124,22 +123,60 @@ def open_starts(t: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(runs) if runs and n >= LENGTH else np.empty(0, np.int64)
 
 
-class Words:
-    """Texts as arrays of word hashes; remembers the hashes of words met before."""
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_CHUNK = 1 << 20
+_INVERSE = pow(_B, -1, 1 << 64)
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _B and of its inverse, modulo 2**64."""
+    of = lambda x: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(_CHUNK, x, np.uint64))))
+    return of(_B), of(_INVERSE)
+
+
+def _hash_words(raw: np.ndarray, space: np.ndarray, powers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    edge = np.diff(space.view(np.int8), prepend=1, append=1)
+    start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[0][: len(raw)])))
+    h = (sums[stop] - sums[start]) * powers[1][start]
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def words(text: bytes) -> np.ndarray:
+    """Hashes of the words of a text, wherever they stand: sums of bytes by powers of their place, in pieces that end between words."""
+    raw = np.frombuffer(text, np.uint8)
+    space, powers = SPACE[raw], _powers()
+    if len(raw) <= _CHUNK:
+        return _hash_words(raw, space, powers)
+    out, at = [], 0
+    while at < len(raw):
+        gaps = np.flatnonzero(space[at : at + _CHUNK])
+        stop = at + _CHUNK if at + _CHUNK < len(raw) and len(gaps) else len(raw)
+        stop = at + int(gaps[-1]) + 1 if stop < len(raw) else stop
+        if stop - at > _CHUNK:  # a word of over a piece: hashed by itself
+            ends = np.flatnonzero(space[at:])
+            stop = at + int(ends[0]) if len(ends) else len(raw)
+            if stop - at > _CHUNK:
+                out.append(np.array([xxhash.xxh64_intdigest(text[at:stop], 5)], np.uint64))
+            else:
+                out.append(_hash_words(raw[at:stop], space[at:stop], powers))
+        else:
+            out.append(_hash_words(raw[at:stop], space[at:stop], powers))
+        at = stop
+    return np.concatenate(out)
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
 
-    def __call__(self, text: bytes) -> np.ndarray:
-        words, known = WORD.findall(text), self.known
-        if len(words) < PASSAGE:
-            return np.empty(0, np.uint64)
-        if len(known) > 400_000:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w, 5)
-        return np.array([known[w] for w in words], np.uint64)
+def _least_at(g: np.ndarray, width: int) -> np.ndarray:
+    """Position of the least value (of its upper bits; the first of equal ones) in each window of `width`."""
+    bits = np.uint64(max(1, len(g).bit_length()))
+    least, have = (g >> bits << bits) | np.arange(len(g), dtype=np.uint64), 1
+    while 2 * have <= width:
+        least, have = np.minimum(least[:-have], least[have:]), 2 * have
+    if have < width:
+        least = np.minimum(least[: len(g) - width + 1], least[width - have :])
+    return (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
 def parse_words(h: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -152,7 +189,7 @@ def parse_words(h: np.ndarray) -> tuple[np.ndarray, ...]:
         g = g[:-width] * np.uint64(power) + g[width:]
         power, width = power * power % (1 << 64), width * 2
     g = (g ^ (g >> np.uint64(31))) * _MIX
-    at = np.lib.stride_tricks.sliding_window_view(g, PASSAGE - ANCHOR + 1).argmin(axis=1) + np.arange(n - PASSAGE + 1)
+    at = _least_at(g, PASSAGE - ANCHOR + 1)
     first = np.flatnonzero(np.diff(at, prepend=-1))
     last = np.append(first[1:], n - PASSAGE + 1) - 1
     t = at[first]
@@ -556,7 +593,6 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = H
     n_blocks = n_buckets = max(1, -(-total // block_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def scan(batches):
-        words = Words()
         for b in batches:
             strings, runs, marks = [], [], []
             for text, *of in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
@@ -565,7 +601,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = H
                     strings.append(_phrases(text, of, rows, 1))
                     if len(open_starts(rows[0], len(text))):
                         marks.append(np.array([(*of, SEVERAL, 1, OPEN)], MARK))
-                if len(text) >= 2 * PASSAGE - 1 and len(h := words(text)):
+                if len(text) >= 2 * PASSAGE - 1 and len(h := words(text)) >= PASSAGE:
                     runs.append(_phrases(h.tobytes(), of, parse_words(h), 8))
             out = []
             for sort, parts in enumerate((strings, runs)):
@@ -583,7 +619,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = H
         return zip(table.column("text").to_pylist(), zip(table.column("uid").to_pylist(), table.column("check").to_pylist()))
 
     def give(texts: pa.Table, marked: pa.Table) -> pa.Table:
-        marks, strings, runs, outers, bytes_of, words = _by_text(marked), [], [], [], [], Words()
+        marks, strings, runs, outers, bytes_of = _by_text(marked), [], [], [], []
         done = set()
         for text, of in texts_of(texts) if marks else ():
             if text is None or of not in marks or of in done:  # equal rows give the same
@@ -618,7 +654,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = H
         return pa.Table.from_batches([_sent(out + send_marks(known, n_buckets, n_blocks))])
 
     def finish(texts: pa.Table, marked: pa.Table) -> pa.Table:
-        marks, words, found, rows = _by_text(marked), Words(), {}, []
+        marks, found, rows = _by_text(marked), {}, []
         times = texts.column("times").to_pylist()
         for text, of in texts_of(texts):
             if text is None or of in found:

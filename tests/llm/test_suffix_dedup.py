@@ -158,6 +158,20 @@ def test_every_string_has_one_place():
         assert sorted(starts) == list(range(len(text) - sd.LENGTH + 1))
 
 
+def test_words_hash_alike_wherever_they_stand():
+    r = random.Random(6)
+    big = sd._CHUNK
+    long = "x" * (big + 17)
+    texts = ["", " ", "a", " a b\tc\x0b\x0cd\r\ne ", "é ü 中文", " ".join(str(r.randrange(5000)) for _ in range(400_000)), f"a {long} b {long} c", long, " " * (2 * big) + "a", "a" + " " * (big - 1) + "b c", "y" * (big - 2) + " a b", f"{'y' * 10} {long}" + " z" * big]
+    texts += ["v" * big, f"{'v' * big} u {'v' * big}", f"a {'v' * big}"]
+    known, back = {}, {}
+    for t in texts:
+        w, h = re.findall(r"[^\x20\x09-\x0D]+", t), sd.words(t.encode()).tolist()
+        assert len(w) == len(h)
+        for x, y in zip(w, h):
+            assert known.setdefault(x, y) == y and back.setdefault(y, x) == x
+
+
 def test_every_run_of_words_has_one_place():
     r = random.Random(4)
     for h in (np.array([r.randrange(1 << 60) for _ in range(700)], np.uint64), np.zeros(120, np.uint64), np.arange(50, dtype=np.uint64), np.arange(49, dtype=np.uint64)):

@@ -9,14 +9,6 @@ class NotConnected(KvError):
     pass
 
 
-class ConnectionFailed(KvError):
-    pass
-
-
-class KeyNotFound(KvError):
-    pass
-
-
 class AlreadyExists(KvError):
     pass
 
@@ -25,14 +17,6 @@ class RevisionMismatch(KvError):
     pass
 
 
-class DeserializationError(KvError):
-    pass
-
-
-class SerializationError(KvError):
-    pass
-
-
 class WatchError(KvError):
     pass
 
@@ -41,10 +25,6 @@ class OperationFailed(KvError):
     pass
 
 
-class Timeout(KvError):
-    pass
-
-
 class CursorExpired(KvError):
     """The log no longer holds all changes after the cursor."""
 

@@ -67,6 +67,15 @@ def prunable(rank: Column, pointer: Column, is_target: Column, aged: Column) ->
     return F.coalesce(~is_target & aged & (rank < pointer), F.lit(False))
 
 
+# Words of messages that mean that a log no longer holds a start revision.
+EXPIRY_WORDS = ("start sequence", "first sequence", "sequence not found", "too old")
+
+
+def is_expiry(message: Column) -> Column:
+    """Does a message of a remote log say that the cursor has expired? For logs that tell it by text alone."""
+    return names_any(message, EXPIRY_WORDS)
+
+
 def names_any(message: Column, needles) -> Column:
     """Does a message contain one of the words, whatever the case?"""
     out = F.lit(False)

@@ -20,21 +20,29 @@ _REST = ("op", "value", "revision", "version")
 
 
 def latest(log: DataFrame, scope: Scope | None = None) -> DataFrame:
-    """Last change of each key in the scope, markers included; arrivals of a key are distinct.
+    """Last change of each key in the scope, markers included; of equal arrivals the one of higher revision.
 
-    The aggregation sees only (key, arrival), so it hashes and never sorts
-    values; the join back is on key and arrival, so a hot key is spread out.
+    One scan and one exchange: a window limited to one row a key. The limit
+    works below the shuffle too, so a task sends each key's last change and no
+    older one, and a hot key is one row a task. A null key is a key.
     """
     if scope is not None:
         log = log.where(scope.column())
-    last = log.groupBy("key").agg(F.max("arrival").alias("arrival"))
-    return log.join(last, ["key", "arrival"], "left_semi").select("key", *_REST, "arrival")
+    rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("arrival"), F.desc("revision")))
+    return log.withColumn("rn", rank).where(F.col("rn") == 1).select("key", *_REST, "arrival")
 
 
-def latest_by_window(log: DataFrame) -> DataFrame:
-    """The same by a window limited to one row a key (partial limit below the shuffle)."""
-    rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("arrival")))
-    return log.withColumn("rn", rank).where(F.col("rn") == 1).select("key", *_REST, "arrival")
+latest_by_window = latest
+
+
+def latest_by_join(log: DataFrame) -> DataFrame:
+    """The same by a hash aggregation over (key, arrival) and a join back; for logs without null keys and with distinct arrivals.
+
+    Nothing is sorted but by the join, and every value moves: it pays where
+    nearly every change is its key's last.
+    """
+    last = log.groupBy("key").agg(F.max("arrival").alias("arrival"))
+    return log.join(last, ["key", "arrival"], "left_semi").select("key", *_REST, "arrival")
 
 
 def latest_by_max(log: DataFrame) -> DataFrame:

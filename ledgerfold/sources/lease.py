@@ -7,7 +7,7 @@ import logging
 import time
 from dataclasses import asdict, dataclass, replace
 
-from ledgerfold.errors import AlreadyExists, KeyNotFound, KvError, RevisionMismatch
+from ledgerfold.errors import AlreadyExists, KvError, RevisionMismatch
 from ledgerfold.kernels import cursor_hex
 from ledgerfold.sources.log import Bucket
 
@@ -71,23 +71,23 @@ class Lease:
         self.bucket, self.key, self.holder_id, self.clock = bucket, key, holder_id, clock
 
     def try_acquire(self, ttl_s: int) -> LeaseGuard | None:
-        """The guard for the one winner of the round, None for all others."""
+        """The guard for the one winner of the round, None for all others.
+
+        The key's last put says whose round it is: none, or one that is over,
+        abandoned or unreadable, may be followed. Writing against exactly that
+        state makes one of several followers the winner.
+        """
         now = int(self.clock())
-        record = LeaseRecord(self.holder_id, now, now + ttl_s)
-        try:
-            return LeaseGuard(self, record, self.bucket.create(self.key, record.dump()))
-        except AlreadyExists:
-            pass
-        there = self.bucket.entry(self.key)  # shows the tombstone of an abandoned lease too
-        if there is None:
-            return None
-        held = LeaseRecord.parse(there.value)
-        if held and held.expires_at_unix > now:
+        last = self.bucket.entry(self.key)  # shows the empty value of an abandoned lease too
+        held = LeaseRecord.parse(last.value) if last else None
+        if held is not None and held.expires_at_unix > now:
             return None
+        mine = LeaseRecord(self.holder_id, now, now + ttl_s)
         try:
-            return LeaseGuard(self, record, self.bucket.update(self.key, record.dump(), there.revision))
-        except (RevisionMismatch, AlreadyExists, KeyNotFound):
+            version = self.bucket.update(self.key, mine.dump(), last.revision) if last else self.bucket.create(self.key, mine.dump())
+        except (AlreadyExists, RevisionMismatch):
             return None
+        return LeaseGuard(self, mine, version)
 
     def current(self) -> LeaseRecord | None:
         found = self.bucket.get(self.key)

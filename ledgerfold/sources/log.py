@@ -8,6 +8,10 @@ turns claims into a Parquet segment, so reading is a Parquet scan with
 revision and prefix pushdown and a short tail of claims. value_len stands
 beside value, so key listings don't read values.
 
+A bulk append ends with an outcome, one more file made exclusively: "done" by
+its writer, or "void" by whoever gives it up. Only appends that are done are
+read, so a writer that was given up learns it and no rows are lost in silence.
+
 Claims need an exclusive create. Local disks and file systems whose rename
 refuses an existing target have it; elsewhere writes are refused unless the
 caller vouches for a single writer.
@@ -29,7 +33,7 @@ from ledgerfold.files import Files
 from ledgerfold.functions.scope import Scope
 from ledgerfold.kernels import token, token_revision
 from ledgerfold.operators import fold as ops
-from ledgerfold.sources.schema import CHANGELOG, DEFAULT_MAX_BYTES, DEL, MAX_KEY_BYTES, MAX_VALUE_BYTES, PURGE, PUT
+from ledgerfold.sources.schema import CHANGELOG, DEFAULT_MAX_BYTES, DEL, DONE, MAX_KEY_BYTES, MAX_VALUE_BYTES, PURGE, PUT, VOID
 
 _STORED = T.StructType([*CHANGELOG.fields, T.StructField("value_len", T.LongType()), T.StructField("written_unix", T.LongType())])
 
@@ -61,6 +65,7 @@ class Bucket:
         self.seal_after, self.single_writer = seal_after, single_writer
         self.files.create(f"{self.path}/bucket.json", json.dumps(asdict(config or BucketConfig())).encode())
         self.config = BucketConfig(**json.loads(self.files.read(f"{self.path}/bucket.json")))
+        self._read: dict[str, dict] = {}  # claims never change
 
     # --- layout
 
@@ -80,13 +85,16 @@ class Bucket:
                 self.files.remove(f"{self.path}/layout/{name}")
 
     def _claims(self, state: dict) -> list[dict]:
-        out = []
-        for name in self.files.names(f"{self.path}/claims"):
-            if name[0].isdigit() and int(name.split("-")[-1]) > state["sealed"]:
-                claim = json.loads(self.files.read(f"{self.path}/claims/{name}"))
-                if not claim.get("void"):
-                    out.append(claim)
-        return out
+        """Claims after what is sealed, each read once; appends that were given up are left out."""
+        names = [n for n in self.files.names(f"{self.path}/claims") if n[0].isdigit() and int(n.split("-")[-1]) > state["sealed"]]
+        held = self._read
+        self._read = {n: held.get(n) or json.loads(self.files.read(f"{self.path}/claims/{n}")) for n in names}
+        return [c for c in self._read.values() if "segment" not in c or self._outcome(c["segment"]) != VOID]
+
+    def _outcome(self, folder: str) -> str | None:
+        """DONE, VOID, or None while an append is under way."""
+        at = f"{self.path}/outcomes/{folder}"
+        return self.files.read(at).decode() if self.files.exists(at) else None
 
     def head(self) -> int:
         """Last revision given out."""
@@ -104,7 +112,7 @@ class Bucket:
         segments = [s for s in state["segments"] if s["to"] > after]
         for c in self._claims(state):
             if "segment" in c:
-                if self.files.exists(f"{self.path}/segments/{c['segment']}/_SUCCESS"):
+                if self._outcome(c["segment"]) == DONE:
                     segments.append(c | {"folder": c["segment"]})
             elif c["revision"] > after:
                 value = base64.b64decode(c["value"]) if c["value"] is not None else None
@@ -153,11 +161,11 @@ class Bucket:
     # --- writes
 
     def put(self, key: str, value: bytes) -> int:
-        return self._write(key, PUT, value, lambda last: None)
+        return self._write(key, PUT, value)
 
     def delete(self, key: str) -> bool:
         """A delete marker, whether or not the key is there."""
-        self._write(key, DEL, None, lambda last: None)
+        self._write(key, DEL, None)
         return True
 
     def create(self, key: str, value: bytes) -> int:
@@ -179,7 +187,7 @@ class Bucket:
 
     def purge(self, key: str) -> None:
         """A marker; the key's earlier changes go at the next retention pass."""
-        self._write(key, PURGE, None, lambda last: None)
+        self._write(key, PURGE, None)
 
     def put_with_ttl(self, key: str, value: bytes, ttl_s: int) -> int:
         raise OperationFailed("values with a time to live are not supported")
@@ -197,7 +205,8 @@ class Bucket:
 
         return check
 
-    def _write(self, key: str, op: str, value: bytes | None, check) -> int:
+    def _write(self, key: str, op: str, value: bytes | None, check=None) -> int:
+        """Claim the next revision; the key's last change is looked up only where the write depends on it."""
         if len(key.encode()) > MAX_KEY_BYTES or len(value or b"") > MAX_VALUE_BYTES:
             raise OperationFailed("the key or the value is too long")
         if not self.files.is_local(self.path) and not self.single_writer:
@@ -205,7 +214,8 @@ class Bucket:
         for _ in range(100):
             head = self.head()
             self._make_room(len(key.encode()) + len(value or b""))
-            check(self._last(key))
+            if check is not None:
+                check(self._last(key))
             record = {"revision": head + 1, "key": key, "op": op, "value": base64.b64encode(value).decode() if value is not None else None, "at": int(self.clock())}
             if self.files.create(f"{self.path}/claims/{head + 1:020d}", json.dumps(record).encode()):
                 if head + 1 - self._state()["sealed"] > self.seal_after:
@@ -216,7 +226,8 @@ class Bucket:
     def append(self, rows: DataFrame) -> tuple[int, int]:
         """Bulk append of (key, op, value) in the order of `arrival`; (first, last) revision given.
 
-        Ranks are made in two steps, by range partitions, so no task sees all rows.
+        Ranks are made in two steps, by range partitions, so no task sees all
+        rows. Raises OperationFailed if the append was given up meanwhile.
         """
         n = rows.count()
         for _ in range(100):
@@ -234,6 +245,8 @@ class Bucket:
         out = ranked.select("revision", "key", "op", F.when(F.col("op") == PUT, F.col("value").cast("binary")).alias("value"), _token_of("revision").alias("version"), F.col("revision").alias("arrival"))
         out = out.withColumns({"value_len": F.coalesce(F.octet_length("value"), F.lit(0)).cast("long"), "written_unix": F.lit(int(self.clock()))})
         out.write.parquet(f"{self.path}/segments/{folder}")
+        if not self.files.create(f"{self.path}/outcomes/{folder}", DONE.encode()):
+            raise OperationFailed("the append was given up while it was being written; nothing of it is in the log")
         return head + 1, head + n
 
     def void_stalled(self, older_than_s: float) -> int:
@@ -243,10 +256,9 @@ class Bucket:
         """
         n = 0
         for name in self.files.names(f"{self.path}/claims"):
-            if name[0].isdigit() and "-" in name and not self.files.exists(f"{self.path}/segments/{name}/_SUCCESS"):
+            if name[0].isdigit() and "-" in name and self._outcome(name) is None:
                 claim = json.loads(self.files.read(f"{self.path}/claims/{name}"))
-                if not claim.get("void") and claim["at"] + older_than_s <= self.clock():
-                    self.files.replace(f"{self.path}/claims/{name}", json.dumps(claim | {"void": True}).encode())
+                if claim["at"] + older_than_s <= self.clock() and self.files.create(f"{self.path}/outcomes/{name}", VOID.encode()):
                     n += 1
         return n
 
@@ -255,14 +267,15 @@ class Bucket:
         state = self._state()
         claims = self._claims(state)
         for k, c in enumerate(claims):  # an append that is still being written ends what can be sealed
-            if "segment" in c and not self.files.exists(f"{self.path}/segments/{c['segment']}/_SUCCESS"):
+            if "segment" in c and self._outcome(c["segment"]) != DONE:
                 claims = claims[:k]
                 break
         if not claims:
             return
         last = max(c.get("to", c.get("revision")) for c in claims)
         singles = [c for c in claims if "segment" not in c]
-        segments = [*state["segments"], *({"folder": c["segment"], "from": c["from"], "to": c["to"]} for c in claims if "segment" in c)]
+        sized = lambda folder, low, high: {"folder": folder, "from": low, "to": high, "bytes": self.files.size(f"{self.path}/segments/{folder}")}
+        segments = [*state["segments"], *(sized(c["segment"], c["from"], c["to"]) for c in claims if "segment" in c)]
         if singles:
             rows = []
             for c in singles:
@@ -270,7 +283,7 @@ class Bucket:
                 rows.append((c["revision"], c["key"], c["op"], value, token(c["revision"]), c["revision"], len(value or b""), c["at"]))
             folder = f"{rows[0][0]:020d}-{rows[-1][0]:020d}-sealed-{state['n']}"
             self.spark.createDataFrame(rows, _STORED).orderBy("revision").write.parquet(f"{self.path}/segments/{folder}")
-            segments.append({"folder": folder, "from": rows[0][0], "to": rows[-1][0]})
+            segments.append(sized(folder, rows[0][0], rows[-1][0]))
         self._advance(state, segments=segments, sealed=last)
         for name in self.files.names(f"{self.path}/claims"):
             if name[0].isdigit() and int(name.split("-")[-1]) <= last - 1:  # the last one stays, so the head is not lost
@@ -281,7 +294,7 @@ class Bucket:
     def size_bytes(self) -> int:
         state = self._state()
         tail = sum(len(c["key"]) + len(base64.b64decode(c["value"] or "")) for c in self._claims(state) if "key" in c)
-        return tail + sum(self.files.size(f"{self.path}/segments/{s['folder']}") for s in state["segments"])
+        return tail + sum(s["bytes"] if "bytes" in s else self.files.size(f"{self.path}/segments/{s['folder']}") for s in state["segments"])
 
     def _make_room(self, more: int) -> None:
         if self.config.max_bytes is None or self.size_bytes() + more <= self.config.max_bytes:
@@ -311,7 +324,7 @@ class Bucket:
         kept.repartitionByRange("revision").sortWithinPartitions("revision").write.parquet(f"{self.path}/segments/{folder}")
         floor = self.spark.read.schema(_STORED).parquet(f"{self.path}/segments/{folder}").agg(F.min("revision")).first()[0]
         floor = max(state["first_sequence"], floor if floor is not None else head + 1)
-        self._advance(state, segments=[{"folder": folder, "from": floor, "to": head}], first_sequence=floor, sealed=max(head, state["sealed"]))
+        self._advance(state, segments=[{"folder": folder, "from": floor, "to": head, "bytes": self.files.size(f"{self.path}/segments/{folder}")}], first_sequence=floor, sealed=max(head, state["sealed"]))
         return floor
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 PUT, DEL, PURGE = "PUT", "DEL", "PURGE"
+#: How a bulk append ended.
+DONE, VOID = "done", "void"
 
 CHANGELOG = T.StructType(
     [
@@ -40,8 +42,7 @@ MAX_VALUE_BYTES = 16 * 1024 * 1024
 DEFAULT_MAX_BYTES = 10 * 1024 * 1024
 COMPACT_BYTES = 10 * 1024 * 1024
 MAX_STORE_FAILURES = 16
-BATCH_WINDOW_MS, BATCH_MAX, CHANNEL = 10, 100, 256
+BATCH_WINDOW_MS, BATCH_MAX = 10, 100
 MANIFEST_CAP = 1024 * 1024
-SWAP_ATTEMPTS = 8
 PRUNE_GRACE_TTLS = 4
 ARTIFACT_SCHEMA = 1

@@ -8,8 +8,11 @@ authority on restart, never the one that on_applied saw last.
 
 from __future__ import annotations
 
+import logging
 import queue
 import re
+import threading
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -17,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.errors import BackendError, CursorExpired, WatchError
+from ledgerfold.errors import BackendError, CursorExpired, InvalidFormat, WatchError
 from ledgerfold.functions.scope import Scope
 from ledgerfold.kernels import gap_is_loss, resume_start, resume_window_ok
 from ledgerfold.operators import fold as ops
@@ -28,6 +31,9 @@ from ledgerfold.sources.store import FoldStore
 from ledgerfold.streaming.source import NAME, register
 
 
+log = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class BatchConfig:
     """max_revisions bounds the batches of deltas and of listings up to ten times as long; a longer listing is one batch with one cursor."""
@@ -63,12 +69,20 @@ class AppliedLoop:
     on_applied: Callable[[int | None], None] = lambda cursor: None
     exports: queue.Queue | None = None
     cursor: int | None = None
+    closing: bool = False
+    _busy: threading.RLock = field(default_factory=threading.RLock, repr=False)
 
     def batch(self, changes: DataFrame, listing: bool = False) -> None:
         """Apply one batch of change rows, publish it with its cursor, then tell the cursor.
 
-        listing: the rows are current values, whose revisions may lie before the cursor.
+        listing: the rows are current values, whose revisions may lie before
+        the cursor. Nothing happens once the loop is shutting down.
         """
+        with self._busy:
+            if not self.closing:
+                self._batch(changes, listing)
+
+    def _batch(self, changes: DataFrame, listing: bool) -> None:
         todo = changes.where(self.scope.column())
         if self.cursor is not None and not listing:  # a batch that Spark runs again
             todo = todo.where(F.col("revision").isNull() | (F.col("revision") > self.cursor))
@@ -82,7 +96,21 @@ class AppliedLoop:
         finally:
             todo.unpersist()
 
+    def shutdown(self, query=None) -> None:
+        """End a watch in order: the running batch is applied and published, queued exports are answered, then the query stops.
+
+        Batches that were not begun are dropped; the next start resumes from
+        the fold's cursor.
+        """
+        self.closing = True
+        with self._busy:  # waits for the running batch
+            self.serve_exports()
+        if query is not None:
+            query.stop()
+        self.serve_exports()  # asked for meanwhile
+
     def _flush(self, rows: DataFrame, last: int | None) -> None:
+        """Publish a batch with its cursor. Any failure of the store is tried again, after longer and longer pauses; `apply` is not repeated."""
         moved = last is not None and (self.cursor is None or last > self.cursor)
         to = last if moved else self.cursor
         if self.store is not None:
@@ -90,9 +118,13 @@ class AppliedLoop:
                 try:
                     self.store.apply(rows, to)
                     break
-                except BackendError as e:
+                except InvalidFormat:
+                    raise  # a manifest that can't be read stays so
+                except Exception as e:  # ours, Spark's or the file system's
                     if not left:
                         raise WatchError(f"the store failed {MAX_STORE_FAILURES} times: {e}") from e
+                    log.warning("the store failed, %d tries are left: %s", left, e)
+                    time.sleep(min(0.5, 0.02 * 2 ** (MAX_STORE_FAILURES - 1 - left)))
                     self.store.refresh()
         if moved:
             self.cursor = to

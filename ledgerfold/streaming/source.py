@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from ledgerfold.errors import CursorExpired
 from ledgerfold.kernels import resume_window_ok, token
-from ledgerfold.sources.schema import CHANGELOG
+from ledgerfold.sources.schema import CHANGELOG, VOID
 
 NAME = "ledgerfold_log"
 _ARROW = pa.schema([("revision", pa.int64()), ("key", pa.string()), ("op", pa.string()), ("value", pa.binary()), ("version", pa.binary()), ("arrival", pa.int64())])
@@ -63,7 +63,7 @@ class LogReader(DataSourceStreamReader):
         head = self._layout()["sealed"]
         for name in _names(f"{self.path}/claims"):
             last = int(name.split("-")[-1])
-            if "-" in name and last > head and not os.path.exists(f"{self.path}/segments/{name}/_SUCCESS") and not _load(f"{self.path}/claims/{name}").get("void"):
+            if "-" in name and last > head and not os.path.exists(f"{self.path}/outcomes/{name}"):
                 break
             head = max(head, last)
         return head
@@ -87,9 +87,10 @@ class LogReader(DataSourceStreamReader):
             if last <= state["sealed"] or last <= low or first > high:
                 continue
             c = _load(f"{self.path}/claims/{name}")
-            if c.get("void"):
-                continue
             if "segment" in c:
+                with open(f"{self.path}/outcomes/{name}") as f:
+                    if f.read() == VOID:
+                        continue
                 segments.append({"folder": c["segment"], "from": first, "to": last})
             else:
                 value = base64.b64decode(c["value"]) if c["value"] is not None else None

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
-import shutil
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ledgerfold.errors import ArtifactInvalid
+from ledgerfold.files import Files
 from ledgerfold.kernels import cursor_hex, parse_cursor_hex
 from ledgerfold.operators.fold import bucket_of
 from ledgerfold.sources.schema import ARTIFACT_SCHEMA
-from ledgerfold.sources.store import FORMAT_GENERATION, FoldReader, FoldStore
+from ledgerfold.sources.store import FORMAT_GENERATION, STORED, FoldReader, FoldStore
 
 MANIFEST, DATA, BACKEND = "MANIFEST.json", "data", "ledgerfold-parquet"
 
@@ -58,128 +58,122 @@ class Manifest:
             raise ArtifactInvalid(f"manifest: {e}") from e
 
 
-def _digest(path: str) -> str:
-    h = hashlib.sha256()
-    with open(path, "rb") as f:
-        while chunk := f.read(1 << 20):
-            h.update(chunk)
-    return h.hexdigest()
+def payload(files: Files, folder: str) -> list[str]:
+    """Paths below data/, sorted. Anything but plain files is refused."""
+    if odd := files.odd(f"{folder}/{DATA}"):
+        raise ArtifactInvalid(f"{odd} is not a plain file")
+    return [f"{DATA}/{n}" for n in files.walk(f"{folder}/{DATA}")]
 
 
-def payload(folder: str) -> list[str]:
-    """Paths below data/, sorted. Anything but plain files is refused; Spark's markers and check sums don't count."""
-    out = []
-    for d, dirs, names in os.walk(f"{folder}/{DATA}"):
-        for n in [*dirs, *names]:
-            if os.path.islink(f"{d}/{n}"):
-                raise ArtifactInvalid(f"{n} is a link")
-        for n in names:
-            if not os.path.isfile(f"{d}/{n}"):
-                raise ArtifactInvalid(f"{n} is not a plain file")
-            out.append(os.path.relpath(f"{d}/{n}", folder))
-    return sorted(out)
+def digests(spark: SparkSession, folder: str) -> dict[str, tuple[int, str]]:
+    """Size and SHA-256 of each payload file, hashed by the executors; the driver gets the digests."""
+    at = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{at}/{DATA}")
+    top = at.partition("://")[2].rstrip("/") + "/"
+    return {r["path"][r["path"].rindex(top) + len(top) :]: (r["length"], r["digest"]) for r in found.select("path", "length", F.sha2("content", 256).alias("digest")).collect()}
 
 
-def check_free(dest: str) -> None:
-    if os.path.lexists(dest) and (os.path.islink(dest) or not os.path.isdir(dest) or os.listdir(dest)):
+def check_free(files: Files, dest: str) -> None:
+    if not files.free(dest):
         raise ArtifactInvalid(f"{dest} is not empty; nothing is overwritten")
 
 
-def _install(staged: str, dest: str) -> None:
-    check_free(dest)
-    if os.path.isdir(dest):
-        os.rmdir(dest)
-    os.rename(staged, dest)
+def _install(files: Files, staged: str, dest: str) -> None:
+    check_free(files, dest)
+    files.rename(staged, dest)
 
 
 def _beside(dest: str) -> str:
-    os.makedirs(os.path.dirname(os.path.abspath(dest)), exist_ok=True)
-    return f"{os.path.dirname(os.path.abspath(dest))}/.{os.path.basename(dest)}.{uuid.uuid4().hex}"
+    parent, _, name = dest.rstrip("/").rpartition("/")
+    return f"{parent}/.{name}.{uuid.uuid4().hex}"
 
 
 def export(store: FoldReader, dest: str, clock=time.time) -> Manifest:
-    """Write the fold and its cursor to dest. The payload is read back and hashed before the manifest goes last."""
-    check_free(dest)
-    spark, staged = store.spark, _beside(dest)
+    """Write the fold and its cursor to dest, on any file system Spark writes to.
+
+    The payload is read back and hashed by the executors before the manifest
+    goes last; then all is renamed into place.
+    """
+    spark, files, staged = store.spark, Files(store.spark), _beside(dest)
+    check_free(files, dest)
     try:
         buckets = store.manifest["buckets"] if store.manifest else 1
         rows = store.rows().withColumn("bucket", bucket_of(F.col("key"), buckets))
-        rows.repartition("bucket").sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"file://{staged}/{DATA}/fold")
-        for d, _, names in os.walk(f"{staged}/{DATA}"):
-            for n in names:
-                if n[0] in "._":
-                    os.unlink(f"{d}/{n}")
-        with open(f"{staged}/{DATA}/meta.json", "w") as f:
-            json.dump({"cursor_hex": cursor_hex(store.cursor), "buckets": buckets}, f)
-        files = tuple({"path": p, "size": os.path.getsize(f"{staged}/{p}"), "digest": _digest(f"{staged}/{p}")} for p in payload(staged))
-        manifest = Manifest(ARTIFACT_SCHEMA, BACKEND, FORMAT_GENERATION, cursor_hex(store.cursor), int(clock()), files)
-        with open(f"{staged}/{MANIFEST}", "wb") as f:
-            f.write(manifest.dump())
-            f.flush()
-            os.fsync(f.fileno())
-        _install(staged, dest)
+        rows.repartition("bucket").sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"{staged}/{DATA}/fold")
+        for name in files.walk(f"{staged}/{DATA}"):
+            if name.rpartition("/")[2][0] in "._":
+                files.remove(f"{staged}/{DATA}/{name}")
+        files.create(f"{staged}/{DATA}/meta.json", json.dumps({"cursor_hex": cursor_hex(store.cursor), "buckets": buckets}).encode())
+        made = digests(spark, staged)
+        if set(made) != set(payload(files, staged)):
+            raise ArtifactInvalid("the payload changed while it was hashed")
+        manifest = Manifest(ARTIFACT_SCHEMA, BACKEND, FORMAT_GENERATION, cursor_hex(store.cursor), int(clock()), tuple({"path": p, "size": made[p][0], "digest": made[p][1]} for p in sorted(made)))
+        files.create(f"{staged}/{MANIFEST}", manifest.dump())
+        _install(files, staged, dest)
         return manifest
     finally:
-        shutil.rmtree(staged, ignore_errors=True)
+        files.remove(staged)
 
 
-def read_manifest(folder: str) -> Manifest:
-    try:
-        with open(f"{folder}/{MANIFEST}", "rb") as f:
-            return Manifest.parse(f.read())
-    except OSError as e:
-        raise ArtifactInvalid(f"no manifest: {e}") from e
+def read_manifest(files: Files, folder: str) -> Manifest:
+    if not files.exists(f"{folder}/{MANIFEST}"):
+        raise ArtifactInvalid("no manifest")
+    return Manifest.parse(files.read(f"{folder}/{MANIFEST}"))
+
 
+def same_generation(version: str) -> None:
+    """The default rule on the format an artifact was made with: exactly ours."""
+    if version != FORMAT_GENERATION:
+        raise ArtifactInvalid(f"generation {version} is not {FORMAT_GENERATION}")
 
-def verify(folder: str) -> Manifest:
-    """All checks on an artifact: manifest, backend, generation, no extras, sizes, digests, cursor."""
-    m = read_manifest(folder)
+
+def verify(folder: str, check_version: Callable[[str], None] = same_generation, spark: SparkSession | None = None) -> Manifest:
+    """All checks on an artifact: manifest, backend, generation (by check_version), no extras, sizes, digests, cursor."""
+    spark = spark or SparkSession.builder.getOrCreate()
+    files = Files(spark)
+    m = read_manifest(files, folder)
     if m.backend != BACKEND:
         raise ArtifactInvalid(f"made by {m.backend}")
-    if m.backend_version != FORMAT_GENERATION:
-        raise ArtifactInvalid(f"generation {m.backend_version} is not {FORMAT_GENERATION}")
-    there, named = set(payload(folder)), {f["path"] for f in m.files}
+    check_version(m.backend_version)
+    there, named = set(payload(files, folder)), {f["path"] for f in m.files}
     if extra := there - named:
         raise ArtifactInvalid(f"not in the manifest: {sorted(extra)[0]}")
     if missing := named - there:
         raise ArtifactInvalid(f"missing: {sorted(missing)[0]}")
-    for f in m.files:
-        if os.path.getsize(f"{folder}/{f['path']}") != f["size"] or _digest(f"{folder}/{f['path']}") != f["digest"]:
-            raise ArtifactInvalid(f"{f['path']} doesn't match its digest")
-    with open(f"{folder}/{DATA}/meta.json") as f:
-        meta = json.load(f)
+    _match(m, digests(spark, folder))
+    meta = json.loads(files.read(f"{folder}/{DATA}/meta.json"))
     if meta["cursor_hex"] != m.cursor_hex:
         raise ArtifactInvalid("the payload's cursor is not the manifest's")
     return m
 
 
-def import_(spark: SparkSession, folder: str, dest: str) -> FoldStore:
-    """Install a verified artifact as a fold at dest, which must be absent or empty."""
-    m = verify(folder)
-    check_free(dest)
-    staged = _beside(dest)
+def _match(m: Manifest, found: dict[str, tuple[int, str]]) -> None:
+    for f in m.files:
+        if found.get(f["path"]) != (f["size"], f["digest"]):
+            raise ArtifactInvalid(f"{f['path']} doesn't match its digest")
+
+
+def import_(spark: SparkSession, folder: str, dest: str, check_version: Callable[[str], None] = same_generation) -> FoldStore:
+    """Install a verified artifact as a fold at dest, which must be absent or empty.
+
+    The executors read the payload into the fold's own files; it is hashed
+    again afterwards, so what was read is what was verified.
+    """
+    files, staged = Files(spark), _beside(dest)
+    m = verify(folder, check_version, spark)
+    check_free(files, dest)
     try:
-        os.makedirs(f"{staged}/base/{1:020d}")
-        with open(f"{folder}/{DATA}/meta.json") as f:
-            meta = json.load(f)
-        base = {}
-        for f in m.files:
-            parts = f["path"].split("/")
-            if parts[1] != "fold":
-                continue
-            target = f"{staged}/base/{1:020d}/{'/'.join(parts[2:])}"
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            shutil.copyfile(f"{folder}/{f['path']}", target)
-            if _digest(target) != f["digest"]:
-                raise ArtifactInvalid(f"{f['path']} changed while it was copied")
-            if parts[2].startswith("bucket="):
-                base[parts[2].partition("=")[2]] = f"base/{1:020d}/{parts[2]}"
-        os.makedirs(f"{staged}/manifests")
-        with open(f"{staged}/manifests/{1:020d}", "w") as out:
-            json.dump({"n": 1, "base": base, "deltas": [], "cursor_hex": m.cursor_hex, "buckets": meta["buckets"], "generation": FORMAT_GENERATION, "written_unix": m.created_at_unix}, out)
+        meta = json.loads(files.read(f"{folder}/{DATA}/meta.json"))
+        to, base = f"base/{1:020d}", {}
+        if any(f["path"].startswith(f"{DATA}/fold/bucket=") for f in m.files):
+            rows = spark.read.schema(STORED).parquet(f"{folder}/{DATA}/fold")
+            rows.repartition("bucket").sortWithinPartitions("bucket", "key").write.option("parquet.bloom.filter.enabled#key", "true").partitionBy("bucket").parquet(f"{staged}/{to}")
+            base = {n.partition("=")[2]: f"{to}/{n}" for n in files.names(f"{staged}/{to}") if n.startswith("bucket=")}
+        _match(m, digests(spark, folder))
+        files.create(f"{staged}/manifests/{1:020d}", json.dumps({"n": 1, "base": base, "deltas": [], "cursor_hex": m.cursor_hex, "buckets": meta["buckets"], "generation": FORMAT_GENERATION, "written_unix": m.created_at_unix}).encode())
         if FoldStore(spark, staged).cursor != m.cursor:
             raise ArtifactInvalid("the installed cursor is not the manifest's")
-        _install(staged, dest)
+        _install(files, staged, dest)
         return FoldStore(spark, dest)
     finally:
-        shutil.rmtree(staged, ignore_errors=True)
+        files.remove(staged)

@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerfold.errors import AlreadyExists, KvError, OperationFailed, RevisionMismatch
+from ledgerfold.errors import AlreadyExists, CursorExpired, KvError, OperationFailed, RevisionMismatch
+from ledgerfold.extension import KvReader, KvWatcher, KvWriter
 from ledgerfold.files import Files
 from ledgerfold.functions.scope import Scope
-from ledgerfold.kernels import token, token_revision
+from ledgerfold.kernels import resume_start, resume_window_ok, token, token_revision
 from ledgerfold.operators import fold as ops
 from ledgerfold.sources.schema import CHANGELOG, DEFAULT_MAX_BYTES, DEL, DONE, MAX_KEY_BYTES, MAX_VALUE_BYTES, PURGE, PUT, VOID
 
@@ -57,7 +58,7 @@ class Entry:
     revision: int
 
 
-class Bucket:
+class Bucket(KvReader, KvWriter, KvWatcher):
     """get-or-create: an existing bucket keeps its own configuration."""
 
     def __init__(self, spark: SparkSession, path: str, config: BucketConfig | None = None, seal_after: int = 1000, clock=time.time, single_writer: bool = False):
@@ -137,6 +138,23 @@ class Bucket:
         lean = log.select("key", "arrival", ((F.col("op") == PUT) & (F.col("value_len") > 0)).alias("shown"))
         return lean.groupBy("key").agg(F.max_by("shown", "arrival").alias("shown")).where("shown").select("key")
 
+    def watch(self, scope: Scope) -> DataFrame:
+        """The state at the head, as changes in revision order, markers included. Nothing for a scope without prefixes."""
+        return ops.state_sync(self.changes().select(*CHANGELOG.fieldNames()), scope)
+
+    def watch_from(self, cursor: int | None, scope: Scope) -> DataFrame:
+        """Changes after the cursor in the scope; the state without a cursor or from cursor 0; CursorExpired if changes are gone."""
+        if not cursor:
+            return self.watch(scope)
+        self.check_resume(cursor)
+        out = ops.delta(self.changes(after=resume_start(cursor) - 1), cursor, scope)
+        self.check_resume(cursor)  # retention may have run meanwhile
+        return out
+
+    def check_resume(self, cursor: int) -> None:
+        if not resume_window_ok(cursor, first := self.first_sequence()):
+            raise CursorExpired(f"the log starts at {first}, after cursor {cursor}")
+
     def _last(self, key: str) -> dict | None:
         state = self._state()
         claims = self._claims(state)
@@ -189,9 +207,6 @@ class Bucket:
         """A marker; the key's earlier changes go at the next retention pass."""
         self._write(key, PURGE, None)
 
-    def put_with_ttl(self, key: str, value: bytes, ttl_s: int) -> int:
-        raise OperationFailed("values with a time to live are not supported")
-
     @staticmethod
     def _expects(key: str, expected: int | bytes):
         if isinstance(expected, bytes):

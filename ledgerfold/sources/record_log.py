@@ -7,15 +7,20 @@ endian). A torn last record is dropped; damage further ahead is an error.
 
 from __future__ import annotations
 
+import mmap
+import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerfold.errors import Corrupted, InvalidFormat
-from ledgerfold.kernels import MAX_VERSION_BYTES, token_revision
+from ledgerfold.kernels import MAX_VERSION_BYTES, token, token_revision
+from ledgerfold.operators.fold import bucket_of
 from ledgerfold.sources.schema import DEL, MAX_KEY_BYTES, MAX_VALUE_BYTES, PUT
 
 # Fixed values of the format.
@@ -159,52 +164,127 @@ def compacted(entries: dict[str, tuple[bytes, bytes]], cursor: bytes) -> bytes:
 
 
 ROWS = "path string, arrival bigint, kind int, key string, op string, value binary, revision bigint, version binary"
+WRITTEN = "path string, records bigint, bytes bigint"
+#: Records that a reader hands on at a time, and bytes that a writer does.
+BATCH, PIECE = 10_000, 1 << 20
+
+
+def _rows(name: str, raw):
+    """A file's records as frames of at most BATCH rows."""
+    import pandas as pd
+
+    arrival, held = 0, []
+
+    def frame():
+        return pd.DataFrame(
+            {
+                "path": name,
+                "arrival": range(arrival - len(held) + 1, arrival + 1),
+                "kind": [r.kind for r in held],
+                "key": [r.key for r in held],
+                "op": [{REC_PUT: PUT, REC_DELETE: DEL}.get(r.kind) for r in held],
+                "value": [r.value for r in held],
+                "revision": pd.array([token_revision(r.version) for r in held], dtype="Int64"),
+                "version": [r.version for r in held],
+            }
+        )
+
+    for r in scan(raw):
+        if not isinstance(r, bool):
+            held.append(r)
+            arrival += 1
+            if len(held) == BATCH:
+                yield frame()
+                held.clear()
+    if held:
+        yield frame()
 
 
 def read_record_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all files under a path as change-log rows, one task a file (framing is sequential)."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """Records of a file, or of all files of a folder, as change-log rows: one task a file, as framing is sequential.
+
+    On a mounted path a task maps its file and hands on BATCH records at a
+    time, however long the file; elsewhere a file is one value, of at most 2 GB.
+    """
+    at = path.removeprefix("file://")
+    if "://" in at:
+        files = spark.read.format("binaryFile").load(path).select("path", "content")
+        return files.mapInPandas(lambda batches: (f for pdf in batches for n, c in zip(pdf["path"], pdf["content"]) for f in _rows(n, bytes(c))), ROWS)
+    names = [(f"{at}/{n}",) for n in sorted(os.listdir(at)) if n[0] not in "._"] if os.path.isdir(at) else [(at,)]
+
+    def run(batches):
+        for pdf in batches:
+            for name in pdf["path"]:
+                if os.path.getsize(name) < len(HEADER):
+                    raise InvalidFormat("the file is too short")
+                with open(name, "rb") as f:
+                    raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)  # let go with its last view
+                yield from _rows(name, raw)
+
+    return spark.createDataFrame(names, "path string").repartition(max(1, len(names)), "path").mapInPandas(run, ROWS)
+
+
+def write_record_logs(held: DataFrame, cursor: bytes, folder: str, files: int = 16) -> DataFrame:
+    """A fold as `files` compact record logs in a mounted folder, written by the executors: path, records, bytes of each.
+
+    A key is in the file of its bucket, each file is sorted and ends with the
+    cursor. A file appears whole or not at all, so a task that runs again
+    replaces what it wrote. A bucket without keys has no file.
+    """
+    at = folder.removeprefix("file://")
+    rows = held.select("key", "value", "version", bucket_of(F.col("key"), files).alias("bucket"))
+
+    def run(batches):
+        out = name = aside = None
+        n = size = 0
+
+        def close():
+            tail = cursor_record(cursor) if cursor else b""
+            out.write(tail)
+            out.flush()
+            os.fsync(out.fileno())
+            out.close()
+            os.replace(aside, name)
+            return pd.DataFrame({"path": [name], "records": [n], "bytes": [size + len(tail)]})
 
-    def rows(batches):
         import pandas as pd
 
         for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                got = [r for r in scan(bytes(content)) if not isinstance(r, bool)]
-                yield pd.DataFrame(
-                    {
-                        "path": name,
-                        "arrival": range(1, len(got) + 1),
-                        "kind": [r.kind for r in got],
-                        "key": [r.key for r in got],
-                        "op": [{REC_PUT: PUT, REC_DELETE: DEL}.get(r.kind) for r in got],
-                        "value": [r.value for r in got],
-                        "revision": pd.array([token_revision(r.version) for r in got], dtype="Int64"),
-                        "version": [r.version for r in got],
-                    }
-                )
-
-    return files.mapInPandas(rows, ROWS)
+            for key, value, version, bucket in zip(pdf["key"], pdf["value"], pdf["version"], pdf["bucket"]):
+                if name != f"{at}/part-{bucket:05d}.log":
+                    if out is not None:
+                        yield close()
+                    os.makedirs(at, exist_ok=True)
+                    name, aside, n, size = f"{at}/part-{bucket:05d}.log", f"{at}/.{uuid.uuid4().hex}", 0, len(HEADER)
+                    out = open(aside, "wb", buffering=PIECE)  # noqa: SIM115
+                    out.write(HEADER)
+                raw = put_record(key, bytes(value), bytes(version or b""))
+                out.write(raw)
+                n, size = n + 1, size + len(raw)
+        if out is not None:
+            yield close()
+
+    return rows.repartition(files, "bucket").sortWithinPartitions("bucket", "key").mapInPandas(run, WRITTEN)
 
 
 def write_record_log(spark: SparkSession, held: DataFrame, cursor: bytes, path: str) -> None:
-    """One compact file of a fold. The format is one sequential file, so one stream of sorted rows writes it."""
+    """One compact file of a fold. The format is one sequential file, so one stream of sorted rows writes it, PIECE bytes at a time."""
     from ledgerfold.files import Files
 
-    chunks = [HEADER]
-    for r in held.orderBy("key").toLocalIterator():
-        chunks.append(put_record(r["key"], bytes(r["value"]), bytes(r["version"] or b"")))
-    if cursor:
-        chunks.append(cursor_record(cursor))
-    Files(spark).replace(path, b"".join(chunks))
+    with Files(spark).writing(path) as write:
+        piece = bytearray(HEADER)
+        for r in held.orderBy("key").toLocalIterator():
+            piece += put_record(r["key"], bytes(r["value"]), bytes(r["version"] or b""))
+            if len(piece) >= PIECE:
+                write(bytes(piece))
+                piece.clear()
+        write(bytes(piece) + (cursor_record(cursor) if cursor else b""))
 
 
 class RecordLogWriter:
     """Append-only writer of one local record log; `checkpoint` says when compaction is due."""
 
     def __init__(self, path: str, compact_bytes: int):
-        import os
-
         self.path, self.limit = path, compact_bytes
         new = not os.path.exists(path) or os.path.getsize(path) == 0
         self.file = open(path, "ab")  # noqa: SIM115
@@ -223,13 +303,9 @@ class RecordLogWriter:
         return self.grown > self.limit
 
     def compact(self) -> None:
-        import os
-
         self.file.flush()
         with open(self.path, "rb") as f:
             state = replay(f.read())
-        from ledgerfold.kernels import token
-
         aside = f"{self.path}.new"
         with open(aside, "wb") as f:
             f.write(compacted(state.entries, token(state.cursor)))
@@ -246,10 +322,6 @@ class RecordLogWriter:
 
 def load(path: str) -> Replay | None:
     """Replay a local file and repair it: torn tails and dead records are rewritten. None if it isn't there."""
-    import os
-
-    from ledgerfold.kernels import token
-
     if not os.path.exists(path) or os.path.getsize(path) == 0:
         return None
     with open(path, "rb") as f:

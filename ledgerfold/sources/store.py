@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerfold.errors import BackendError, InvalidFormat
+from ledgerfold.extension import SnapshotStore
 from ledgerfold.files import Files
 from ledgerfold.functions.columns import is_put
 from ledgerfold.functions.scope import Scope
@@ -29,7 +30,7 @@ from ledgerfold.operators import fold as ops
 from ledgerfold.sources.schema import COMPACT_BYTES, FOLD, MAX_VALUE_BYTES
 
 FORMAT_GENERATION = "1"
-_BASE = T.StructType([*FOLD.fields, T.StructField("bucket", T.IntegerType())])
+STORED = T.StructType([*FOLD.fields, T.StructField("bucket", T.IntegerType())])
 _DELTA = T.StructType([*FOLD.fields, T.StructField("op", T.StringType()), T.StructField("arrival", T.LongType()), T.StructField("bucket", T.IntegerType())])
 
 
@@ -110,7 +111,7 @@ class FoldReader:
         return zlib.crc32(key.encode()) % (self.manifest["buckets"] if self.manifest else 1)
 
 
-class FoldStore(FoldReader):
+class FoldStore(FoldReader, SnapshotStore):
     """The writer of a fold. One writer; a second one fails at its next publish."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16, compact_bytes: int = COMPACT_BYTES):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.errors import BackendError, CursorExpired, InvalidFormat, WatchError
 from ledgerfold.functions.scope import Scope
-from ledgerfold.kernels import gap_is_loss, resume_start, resume_window_ok
+from ledgerfold.kernels import gap_is_loss
 from ledgerfold.operators import fold as ops
 from ledgerfold.sources import artifact
 from ledgerfold.sources.log import Bucket
@@ -162,21 +162,16 @@ class AppliedLoop:
 
 
 def check_resume(bucket: Bucket, cursor: int) -> None:
-    if not resume_window_ok(cursor, bucket.first_sequence()):
-        raise CursorExpired(f"the log starts at {bucket.first_sequence()}, after cursor {cursor}")
+    bucket.check_resume(cursor)
 
 
 def state_sync(bucket: Bucket, scope: Scope) -> DataFrame:
-    """The state at the head, as changes in revision order, markers included. Nothing for a scope without prefixes."""
-    return ops.state_sync(bucket.changes().select("revision", "key", "op", "value", "version", "arrival"), scope)
+    return bucket.watch(scope)
 
 
 def changes_from(bucket: Bucket, cursor: int, scope: Scope) -> DataFrame:
     """Changes after the cursor in the scope, as a batch; CursorExpired if some are gone."""
-    check_resume(bucket, cursor)
-    out = ops.delta(bucket.changes(after=resume_start(cursor) - 1), cursor, scope)
-    check_resume(bucket, cursor)  # retention may have run meanwhile
-    return out
+    return bucket.watch_from(cursor, scope)
 
 
 def watch_stream(spark: SparkSession, bucket: Bucket, scope: Scope, after: int, most: int = 0) -> DataFrame:

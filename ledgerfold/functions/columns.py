@@ -22,6 +22,12 @@ def op_of_header(header: Column) -> Column:
     return F.when(header.isNull() | (header == PUT), PUT).when(header == DEL, DEL).when(header == PURGE, PURGE)
 
 
+def op_of_entry(operation: Column) -> Column:
+    """Operation of an entry that a client library has decoded, by name in any case; other names give NULL."""
+    name = F.upper(operation)
+    return F.when(name == "PUT", PUT).when(name.isin("DEL", "DELETE"), DEL).when(name == "PURGE", PURGE)
+
+
 def strip_keyspace(subject: Column, keyspace: str) -> Column:
     """Key of a subject inside the keyspace, else NULL."""
     return F.when(subject.startswith(keyspace), F.substring(subject, len(keyspace) + 1, 1 << 30))
@@ -58,6 +64,11 @@ def resume_ok(cursor: Column, first_sequence: Column) -> Column:
     return first_sequence <= F.coalesce(F.try_add(cursor, F.lit(1)), F.lit(9223372036854775807))
 
 
+def gap_loss(frontier: Column, revision: Column, first_sequence: Column) -> Column:
+    """Did delivery jump from the frontier over revisions that retention removed unseen?"""
+    return (revision > frontier + 1) & ~resume_ok(frontier, first_sequence)
+
+
 def publish_ok(existing: Column, candidate: Column) -> Column:
     """existing NULL: no pointer, or one that can't be read."""
     return existing.isNull() | (candidate >= existing)

@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import columns as C
 from ledgerfold.functions.scope import Scope
 from ledgerfold.operators import fold as ops
+from ledgerfold.plans.registry import ORACLES, QUERIES, query
+from ledgerfold.plans.registry import run_folder as _shared
 from ledgerfold.sources import artifact
 from ledgerfold.sources.changelogs import events_log, orders_log
 from ledgerfold.sources.schema import LEASE
 from ledgerfold.sources.store import FoldStore
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
 # The same change logs in SQL.
 _LOG = """WITH log AS (
   SELECT event_id + 1 AS revision, 'user.' || lpad(CAST(user_id AS VARCHAR), 4, '0') || '.' || CAST(event_id % 7 AS VARCHAR) AS key,
@@ -36,16 +32,6 @@ _MIDDLE = "(SELECT max(revision) // 2 FROM log)"
 _KEYS = ["user.0001.0", "user.0002.1", "absent.key", "user.0001.0", "user.0007.3"]
 
 
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return keep
-
-
 def _text(df: DataFrame) -> DataFrame:
     """Values as text, revisions as they are."""
     return df.select(*[F.col(c).cast("string").alias(c) if c == "value" else F.col(c) for c in df.columns if c not in ("version", "arrival")])
@@ -55,12 +41,6 @@ def _middle(log: DataFrame) -> int:
     return (log.agg(F.max("revision")).first()[0] or 0) // 2
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder below the session's shared checkpoint folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerfold-")
-    return f"{top}/ledgerfold-{uuid.uuid4().hex}"
-
-
 @query("fold_latest", _LOG + "SELECT key, value, revision FROM last WHERE op = 'PUT'")
 def fold_latest(spark, sf_dir):
     return _text(ops.fold(events_log(spark, sf_dir)))
@@ -225,14 +205,6 @@ def revision_gaps(spark, sf_dir):
     return ops.revision_gaps(ops.latest(events_log(spark, sf_dir)), width=1 << 12)
 
 
-@query("resume_verdicts", _LOG + "SELECT revision AS cursor, (SELECT min(revision) FROM last) <= revision + 1 AS resumable FROM log WHERE revision % 10 = 0")
-def resume_verdicts(spark, sf_dir):
-    log = events_log(spark, sf_dir)
-    first = ops.first_sequence(ops.latest(log))
-    cursors = log.where(F.col("revision") % 10 == 0).select(F.col("revision").alias("cursor"))
-    return cursors.join(F.broadcast(first)).select("cursor", C.resume_ok(F.col("cursor"), F.col("first_sequence")).alias("resumable"))  # one row
-
-
 def _subjects(spark, sf_dir) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
     n = F.col("event_id").cast("string")
@@ -380,3 +352,6 @@ def export_import_roundtrip(spark, sf_dir):
     store.apply(log, log.agg(F.max("revision")).first()[0])
     artifact.export(store, f"{at}/artifact")
     return _text(artifact.import_(spark, f"{at}/artifact", f"{at}/installed").rows()).select("key", "value", "revision")
+
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -5,6 +5,8 @@ import os
 import queue
 import random
 import shutil
+import threading
+import time
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -46,6 +48,13 @@ def dict_fold(rows):
     return out
 
 
+def until(holds, seconds=60):
+    end = time.time() + seconds
+    while not holds():
+        assert time.time() < end
+        time.sleep(0.2)
+
+
 # --- folds
 
 
@@ -218,6 +227,93 @@ def test_a_stalled_append_is_voided(spark, tmp_path):
     assert b.put("c", b"3") == 7 and state(b.scan("")) == {"a": "1", "b": "2", "c": "3"}
 
 
+def test_an_append_that_was_given_up_raises(spark, tmp_path):
+    """Whoever writes the outcome first decides: an append returns with its rows in the log, or raises with none."""
+    from ledgerfold.streaming.source import LogReader
+
+    b, other = (Bucket(spark, str(tmp_path / "b"), BucketConfig(max_bytes=None)) for _ in range(2))
+    create, voided = b.files.create, []
+
+    def late(path, data):  # given up after the data are written, before the writer says so
+        if "/outcomes/" in path:
+            voided.append(other.void_stalled(0))
+        return create(path, data)
+
+    b.files.create = late
+    with pytest.raises(OperationFailed):
+        b.append(log_of(spark, [(1, "a", PUT, "1"), (2, "b", PUT, "2")]))
+    b.files.create = create
+    assert voided == [1] and b.changes().count() == other.changes().count() == 0 and LogReader({"path": b.path})._head() == 2
+    assert b.append(log_of(spark, [(1, "a", PUT, "1")])) == (3, 3) and other.void_stalled(0) == 0
+    b.seal()
+    assert state(other.scan("")) == {"a": "1"}
+
+
+def test_appends_race_with_giving_up(spark, tmp_path):
+    b, other = (Bucket(spark, str(tmp_path / "b"), BucketConfig(max_bytes=None)) for _ in range(2))
+    rows = log_of(spark, [(1, "a", PUT, "1"), (2, "b", PUT, "2")]).persist()
+    stop, there, n = threading.Event(), 0, 0
+
+    def give_up():
+        while not stop.is_set():
+            other.void_stalled(0)
+            time.sleep(0.3)
+
+    thread = threading.Thread(target=give_up)
+    thread.start()
+    try:
+        for _ in range(6):
+            try:
+                b.append(rows)
+                n += 1
+            except OperationFailed:
+                there += 1
+    finally:
+        stop.set()
+        thread.join()
+        rows.unpersist()
+    assert n + there == 6 and b.changes().count() == 2 * n
+
+
+def test_the_fold_is_one_exchange(spark, tmp_path):
+    log_of(spark, STREAM).write.parquet(str(tmp_path / "log"))
+    for made in (lambda log: ops.latest(log), lambda log: ops.fold(log), lambda log: ops.live(log, Scope.prefix("node."))):
+        plan = made(spark.read.parquet(str(tmp_path / "log")))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Broadcast" not in plan and "Join" not in plan and plan.count("FileScan") == 1
+        assert plan.count("WindowGroupLimit") == 2  # below the exchange too: a task sends one row a key
+
+
+def test_null_keys_and_equal_arrivals(spark):
+    rows = [(1, None, PUT, b"1", None, 1), (2, None, PUT, b"2", None, 2), (3, "a", PUT, b"3", None, 7), (4, "a", DEL, None, None, 7)]
+    log = spark.createDataFrame(rows, CHANGELOG)
+    for made in (ops.latest, ops.latest_by_window):
+        assert sorted((r["key"] or "", r["revision"]) for r in made(log).collect()) == [("", 2), ("a", 4)]
+    assert {r["key"] for r in ops.latest_by_max(log).collect()} == {None, "a"}
+
+
+def test_single_writes_read_claims_once(spark, tmp_path):
+    b = Bucket(spark, str(tmp_path / "b"), seal_after=10_000)
+    read, seen = b.files.read, []
+    b.files.read = lambda path: seen.append(path) or read(path)
+    for k in range(20):
+        b.put(f"k{k}", b"v")
+    claims = [p for p in seen if "/claims/" in p]
+    assert len(claims) == len(set(claims)) <= 20
+
+
+def test_own_stores_have_to_be_whole():
+    from ledgerfold import extension
+
+    class Half(extension.KvReader):
+        def get(self, key):
+            return None
+
+    with pytest.raises(TypeError):
+        Half()
+    for ours, base in ((Bucket, extension.KvReader), (Bucket, extension.KvWriter), (Bucket, extension.KvWatcher), (FoldStore, extension.SnapshotStore), (Transport, extension.ArtifactTransport)):
+        assert issubclass(ours, base)
+
+
 def test_retention_by_age_and_bytes(spark, tmp_path):
     now = [1000]
     b = Bucket(spark, str(tmp_path / "age"), BucketConfig(max_age_s=50, max_bytes=None), clock=lambda: now[0])
@@ -547,8 +643,6 @@ def test_bootstrap_replays_only_the_tail(spark, tmp_path):
 
 
 def test_running_watch(spark, tmp_path):
-    import time
-
     b = filled(spark, tmp_path / "b")
     loop = AppliedLoop(spark, scope=Scope.of(["node.", "svc."]), store=FoldStore(spark, str(tmp_path / "fold")))
     q = watch_applied(b, loop, str(tmp_path / "ck"), available_now=False, config=BatchConfig(window_ms=200))
@@ -560,3 +654,21 @@ def test_running_watch(spark, tmp_path):
     finally:
         q.stop()
     assert state(FoldStore(spark, loop.store.path).rows()) == FINAL | {"node.new": "n"}
+
+
+def test_shutdown_of_a_running_watch(spark, tmp_path):
+    """The running batch is published, an export asked for is answered, and what comes later is left for the next start."""
+    b, asked = filled(spark, tmp_path / "b"), queue.Queue()
+    loop = AppliedLoop(spark, store=FoldStore(spark, str(tmp_path / "fold")), exports=asked)
+    query = watch_applied(b, loop, str(tmp_path / "c"), available_now=False)
+    b.put("node.late", b"1")
+    until(lambda: loop.store.cursor == 8)
+    request = ExportRequest(str(tmp_path / "art"))
+    asked.put(request)
+    loop.shutdown(query)
+    assert request.result.get(timeout=1).cursor == 8 and not query.isActive
+    b.put("node.later", b"2")
+    assert loop.store.refresh().cursor == 8
+    again = AppliedLoop(spark, store=FoldStore(spark, str(tmp_path / "fold")))
+    watch_applied(b, again, str(tmp_path / "c"))
+    assert again.store.cursor == 9 and state(again.store.rows())["node.later"] == "2"

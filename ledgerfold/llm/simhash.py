@@ -36,6 +36,8 @@ from .graph import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BITS, SEGMENTS, WIDTH, PARTS, LIMIT = 64, 4, 16, 4, 3
+#: Rows of two numbers that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: bytes | None, n: int = 3, seed: int = 42) -> int:
@@ -159,10 +161,16 @@ def links(fps: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "u long, v long").distinct()
 
 
+def _row_of(docs: DataFrame) -> list:
+    """128 bits that tell rows apart by id and text."""
+    known = [F.col("doc_id").isNull(), F.col("doc_id").cast("string"), F.col("text").isNull(), F.col("text")]
+    return [F.xxhash64(*known).alias("__row"), F.xxhash64(F.lit(1), *known[::-1]).alias("__row2")]
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, parts): rows is doc_id, fp, row for each document; parts maps the fp of linked fingerprints to comp."""
-    marked = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64(F.col("doc_id").cast("string"), "text").alias("row"))
-    rows = cut(with_fingerprint(marked).select("doc_id", "fp", "row"))
+    """(rows, parts): rows is doc_id, fp, __row, __row2 for each document; parts maps the fp of linked fingerprints to comp."""
+    marked = docs.select(F.col("doc_id"), F.col("text"), *_row_of(docs))
+    rows = cut(with_fingerprint(marked).select("doc_id", "fp", "__row", "__row2"))
     return rows, cut(components(links(rows)).select(F.col("node").alias("fp"), F.col("component").alias("comp")))
 
 
@@ -180,10 +188,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component: that of the smallest doc_id (nulls last, then by content)."""
+    """One document of each component: that of the smallest doc_id (nulls last, then by content).
+
+    Rows that go are told by 128 bits of hash. Up to BROADCAST_ROWS of them are
+    broadcast, so texts don't move; beyond that they are joined by shuffle. Of
+    equal rows that stay, those alone are gathered and made one.
+    """
     rows, parts = classes(docs)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("__row").alias("row"), F.col("__row2").alias("row2")))
     of_fp = with_component(rows.groupBy("fp").agg(first.alias("best")), parts)
-    best = of_fp.groupBy("comp").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row"))
-    tagged = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("string"), "text"))
-    return tagged.join(best, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    best = of_fp.groupBy("comp").agg(F.min("best").alias("best"))
+    best_of = of_fp.select("fp", "comp").join(best.select("comp", F.col("best.row").alias("best"), F.col("best.row2").alias("best2")), "comp").select("fp", "best", "best2")
+    judged = rows.groupBy("fp", "__row", "__row2").agg(F.count(F.lit(1)).alias("n")).join(best_of, "fp")
+    stays = (F.col("__row") == F.col("best")) & (F.col("__row2") == F.col("best2"))
+    marked = cut(judged.where(~stays | (F.col("n") > 1)).select("__row", "__row2", stays.alias("__stays")))
+    n, n_equal = marked.agg(F.count(F.lit(1)), F.count(F.when(F.col("__stays"), 1))).first()
+    on = lambda x: F.broadcast(x) if n <= BROADCAST_ROWS else x
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    tagged = docs.select(*own, *_row_of(docs))
+    keys = ["__row", "__row2"]
+    out = tagged.join(on(marked.select(*keys)), keys, "left_anti")
+    if n_equal:
+        out = out.unionByName(tagged.join(on(marked.where("__stays").select(*keys)), keys, "left_semi").dropDuplicates(keys))
+    return out.drop(*keys)

@@ -163,6 +163,20 @@ def test_pigeonring_links_lose_nothing(spark):
 # --- sharding
 
 
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_keep_one_of_copies_and_equal_rows(spark, monkeypatch, bound):
+    """Copies, rows that repeat with their id, null ids, and texts without words; by broadcast and by shuffle."""
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", bound)
+    r = random.Random(5)
+    prose = lambda: " ".join(str(r.randrange(10_000)) for _ in range(60))
+    a, b, c, e = prose(), prose(), prose(), prose()
+    rows = [(7, a), (3, a), (9, a), (5, b), (5, b), (5, b), (None, c), (None, c), (None, e), (20, e), (30, None), (31, ""), (32, " \n"), (40, prose())]
+    d = spark.createDataFrame([(k, t, n) for n, (k, t) in enumerate(rows)], "doc_id long, text string, __n int")
+    out = simhash.keep_one(d.repartition(4))
+    assert out.columns == d.columns
+    assert sorted((x["doc_id"] or 0, x["text"] or "") for x in out.collect()) == sorted([(3, a), (5, b), (0, c), (20, e), (30, ""), (40, rows[-1][1])])
+
+
 @pytest.mark.parametrize("limit", [200, 5000])
 def test_shards_fit_and_split_only_where_needed(spark, limit):
     r = random.Random(5)

@@ -47,7 +47,6 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +57,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut
+from .wordhash import SPACE, hash_words
 
 LENGTH, HALF, TRIGGER, EVERY = 400, 200, 16, 64
 PASSAGE, ANCHOR = 50, 8
@@ -123,49 +123,8 @@ def open_starts(t: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(runs) if runs and n >= LENGTH else np.empty(0, np.int64)
 
 
-SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_CHUNK = 1 << 20
-_INVERSE = pow(_B, -1, 1 << 64)
-
-
-@lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _B and of its inverse, modulo 2**64."""
-    of = lambda x: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(_CHUNK, x, np.uint64))))
-    return of(_B), of(_INVERSE)
-
-
-def _hash_words(raw: np.ndarray, space: np.ndarray, powers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    edge = np.diff(space.view(np.int8), prepend=1, append=1)
-    start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[0][: len(raw)])))
-    h = (sums[stop] - sums[start]) * powers[1][start]
-    h = (h ^ (h >> np.uint64(32))) * _MIX
-    return h ^ (h >> np.uint64(29))
-
-
 def words(text: bytes) -> np.ndarray:
-    """Hashes of the words of a text, wherever they stand: sums of bytes by powers of their place, in pieces that end between words."""
-    raw = np.frombuffer(text, np.uint8)
-    space, powers = SPACE[raw], _powers()
-    if len(raw) <= _CHUNK:
-        return _hash_words(raw, space, powers)
-    out, at = [], 0
-    while at < len(raw):
-        gaps = np.flatnonzero(space[at : at + _CHUNK])
-        stop = at + _CHUNK if at + _CHUNK < len(raw) and len(gaps) else len(raw)
-        stop = at + int(gaps[-1]) + 1 if stop < len(raw) else stop
-        if stop - at > _CHUNK:  # a word of over a piece: hashed by itself
-            ends = np.flatnonzero(space[at:])
-            stop = at + int(ends[0]) if len(ends) else len(raw)
-            if stop - at > _CHUNK:
-                out.append(np.array([xxhash.xxh64_intdigest(text[at:stop], 5)], np.uint64))
-            else:
-                out.append(_hash_words(raw[at:stop], space[at:stop], powers))
-        else:
-            out.append(_hash_words(raw[at:stop], space[at:stop], powers))
-        at = stop
-    return np.concatenate(out)
+    return hash_words(text, SPACE)[0]
 
 
 def _least_at(g: np.ndarray, width: int) -> np.ndarray:

@@ -73,11 +73,28 @@ def test_passages_in_long_texts_are_cleaned(spark):
     texts += [f"{prose(900)} {passage(2, 17, 13)}", f"{passage(2, 0, 59)} {prose(20_000)}"]
     clean = [f"{prose(3000)} {passage(2, 5, 12)} {prose(3000)}", f"{prose(500)} AB, cd! {prose(500)}", prose(40), "", None]
     d = docs(spark, texts + clean)
-    for block_bytes in (1 << 24, 300):
-        kept = decontaminate.clean(d, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes)
+    for how in ({}, {"block_bytes": 300}, {"block_bytes": 300, "resident": 0}):
+        kept = decontaminate.clean(d, spark.createDataFrame(items, "item_id long, text string"), **how)
         assert sorted(x["doc_id"] for x in kept.collect()) == list(range(len(texts), len(texts + clean)))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_wu_manber_finds_every_occurrence(seed):
+    r = random.Random(seed)
+    word = lambda: r.choice(("a b c" if seed % 2 else "ab cd ef gh ij kl mn é zz9 10").split())
+    items = [(k, " ".join(word() for _ in range(r.randrange(0, 40))).encode()) for k in range(25)]
+    tables = decontaminate.build(items)
+    assert sum(t.n_bytes for t in tables) < decontaminate.BUILT * sum(len(t) + 200 for _, t in items) + (1 << 12)
+    for _ in range(40):
+        raw = " ".join(word() if r.random() < 0.8 else r.choice(items)[1].decode() for _ in range(r.randrange(60))).encode()
+        text, words = decontaminate.Text(raw), raw.split()
+        for t in tables:
+            at, owner = t.search(text)
+            got = sorted(zip(at.tolist(), (t.ids[k] for k in owner.tolist())))
+            own = [(i, x.split()) for i, x in items if x.split() and min(13, len(x.split())) == t.m]
+            assert got == sorted((p, str(i)) for i, w in own for k in range(len(w) - t.m + 1) for p in range(len(words) - t.m + 1) if words[p : p + t.m] == w[k : k + t.m])
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 24, 40])
 def test_item_ids_of_any_text(spark, block_bytes):
     items = [("a,b", "ab cd ef"), ("", "gh ij kl"), ('"', "mn op"), ("é,", "qr st uv"), ("a", "wx yz ab")]

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import suffix_dedup as sd
+from ledgerfold.llm import wordhash
 from tests.llm.helpers import awkward, docs
 
 
@@ -160,7 +161,7 @@ def test_every_string_has_one_place():
 
 def test_words_hash_alike_wherever_they_stand():
     r = random.Random(6)
-    big = sd._CHUNK
+    big = wordhash.PIECE
     long = "x" * (big + 17)
     texts = ["", " ", "a", " a b\tc\x0b\x0cd\r\ne ", "é ü 中文", " ".join(str(r.randrange(5000)) for _ in range(400_000)), f"a {long} b {long} c", long, " " * (2 * big) + "a", "a" + " " * (big - 1) + "b c", "y" * (big - 2) + " a b", f"{'y' * 10} {long}" + " z" * big]
     texts += ["v" * big, f"{'v' * big} u {'v' * big}", f"a {'v' * big}"]

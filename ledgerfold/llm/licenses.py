@@ -7,17 +7,19 @@ licence words. A temperature fitted on perturbations held out calibrates the
 probabilities. Scoring: lines are joined to paragraphs, as notices are wrapped:
 a line goes on in the next one unless it ends a sentence or a blank line (or an
 empty comment line) follows. Each paragraph is scored by its n-grams' sparse
-weights, and its lines one by one if the whole is of no family; a family with MIN_PROBABILITY or more is predicted, and confirmed if
-half the paragraph's bigrams or more are in that family's templates. Paragraphs
-without a family that hold words of a notice (anchors, licence names) may be of
-a licence outside the families, or too short to tell; they are counted.
+weights (one with common words only has none and is passed over), and its lines one by one if the whole is of no family; a family with
+MIN_PROBABILITY or more is predicted, and confirmed if half the paragraph's
+bigrams or more are in that family's templates. Paragraphs without a family
+that hold words of a notice (anchors, licence names) may be of a licence
+outside the families, or too short to tell; they are counted.
 
 All scoring is inside the row: no shuffle and no join. The model is a literal
 of some hundred n-grams, dealt into hash buckets so that a look-up walks a
 short map.
 
 Defined results: null text is empty and has no licence; a hit is named by the
-line (from 0) its paragraph or line begins at; equal paragraphs count each; extra columns stay, those named like a result are replaced.
+line (from 0) its paragraph or line begins at; equal paragraphs count each;
+extra columns stay, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -51,6 +53,7 @@ TEMPLATES = {
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Released under the BSD 3-Clause License.",
+        "This software is licensed under the BSD license.",
     ],
     "gpl": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -110,6 +113,8 @@ OTHERS = [
 #: A paragraph of no family counts as unknown notice with one of these in it, or one of the names as a word.
 ANCHORS = ("licen", "copyright", "permission", "redistribut", "warrant", "all rights", "proprietary")
 NAMES = r"(?:^|[^a-z0-9])(?:public domain|creative commons|cc by|cc0|unlicense|[al]?gpl|mpl|epl|cddl|isc|bsd|gnu|mozilla public)(?:$|[^a-z])"
+#: Words that any text holds: alone, or next to each other, they are no features.
+COMMON = frozenset("a all an and any are as at be by either for from have if in is it may not of on or other such that the this to under use used was will with without you your been because no our she he his it its they 0 1 2 3 4".split())
 UNKNOWN, MIN_PROBABILITY, MIN_SHARED, BUCKETS = "unknown", 0.6, 0.5, 64
 
 
@@ -163,11 +168,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def train(each: int = 400, steps: int = 400, l1: float = 2e-4) -> tuple[list[str], dict[str, list[float]], list[float]]:
+def train(each: int = 1000, steps: int = 500, l1: float = 1e-4) -> tuple[list[str], dict[str, list[float]], list[float]]:
     """(classes, calibrated weights by n-gram, calibrated biases). Proximal gradient steps with momentum."""
     classes, rng = [*TEMPLATES, UNKNOWN], np.random.default_rng(11)
     fit, held = _examples(rng, each), _examples(rng, each // 4)
-    vocabulary = sorted({g for texts in TEMPLATES.values() for t in texts for g in grams(t)} | {g for t in PROSE + OTHERS for g in grams(t)})
+    seen = {g for texts in (*TEMPLATES.values(), PROSE, OTHERS) for t in texts for g in grams(t)}
+    vocabulary = sorted(g for g in seen if not COMMON.issuperset(g.split()))
     index = {g: k for k, g in enumerate(vocabulary)}
     x, y = _matrix(fit, index), np.eye(len(classes), dtype=np.float32)[[k for _, k in fit]]
     w, b = np.zeros((len(index), len(classes)), np.float32), np.zeros(len(classes), np.float32)
@@ -185,6 +191,24 @@ def train(each: int = 400, steps: int = 400, l1: float = 2e-4) -> tuple[list[str
     return classes, {vocabulary[k]: [round(float(v), 4) for v in w[k] * t] for k in live}, [round(float(v), 4) for v in b * t]
 
 
+def any_word(words) -> str:
+    """A pattern for any of the words, standing alone: a tree by letters, so that other words fail at their first ones."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in [*w, ""]:
+            at = at.setdefault(c, {})
+
+    def of(node: dict) -> str:
+        if node == {"": {}}:
+            return ""
+        parts = [re.escape(c) + of(x) for c, x in sorted(node.items()) if c]
+        whole = parts[0] if len(parts) == 1 and "" not in node else f"(?:{'|'.join(parts)})"
+        return whole + ("?" if "" in node else "")
+
+    return f"(?<![a-z0-9]){of(tree)}(?![a-z0-9])"
+
+
 def _literal(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
@@ -209,7 +233,7 @@ def bucket_of(gram: str) -> int:
     return (ord(gram[0]) * 7 + ord(gram[-1]) * 3 + len(gram)) % BUCKETS
 
 
-def _classify(line: Column, classes: list[str], tables: Column, bias: Column, templates: Column) -> Column:
+def _classify(line: Column, classes: list[str], tables: Column, bias: Column, templates: Column, telling: Column) -> Column:
     """struct(family, probability, confirmed) of a lower-cased paragraph; family is null for unknown."""
     def of_grams(g: Column) -> Column:
         code = lambda x: (F.ascii(x) * 7 + F.ascii(F.substring(x, -1, 1)) * 3 + F.length(x)) % BUCKETS
@@ -234,7 +258,8 @@ def _classify(line: Column, classes: list[str], tables: Column, bias: Column, te
         pairs = F.when(F.size(w) > 1, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))).otherwise(F.array().cast("array<string>"))
         return _let(F.struct(F.concat(F.array_distinct(w), pairs).alias("all"), pairs.alias("pairs")), of_grams)
 
-    return _let(F.regexp_extract_all(line, F.lit("[a-z0-9]+"), F.lit(0)), of_words)
+    none = F.struct(F.lit(None).cast("string").alias("family"), F.lit(0.0).alias("probability"), F.lit(False).alias("confirmed"))
+    return F.when(F.rlike(line, telling), _let(F.regexp_extract_all(line, F.lit("[a-z0-9]+"), F.lit(0)), of_words)).otherwise(none)
 
 
 #: A line break inside a paragraph: no sentence ends before it, and the next line has text.
@@ -258,12 +283,17 @@ def scan(docs: DataFrame) -> DataFrame:
     pairs = {f: sorted({g for t in texts for g in grams(t) if " " in g}) for f, texts in TEMPLATES.items()}
     new = ("n_licenses", "n_confirmed", "families", "best_probability", "hits", "n_unknown")
     own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
-    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    model = _literal(tables, "array<map<string,array<double>>>"), _literal(bias, "array<double>"), _literal(pairs, "map<string,array<string>>")
+    telling = F.lit(any_word({w for g in weights for w in g.split() if w not in COMMON}))
+    model = _literal(tables, "array<map<string,array<double>>>"), _literal(bias, "array<double>"), _literal(pairs, "map<string,array<string>>"), telling
     scored = lambda x, at: F.struct(at.alias("at"), _classify(x, classes, *model).alias("c"), is_notice(x).alias("notice"))
-    each = F.transform(_paragraphs(text), lambda p: F.struct(p["lines"].alias("lines"), scored(p["lines"], p["at"]).alias("s")))
     split = lambda p: F.transform(F.split(p["lines"], INNER, -1), lambda x, k: scored(x, p["s"]["at"] + k))
-    found = F.flatten(F.transform(each, lambda p: F.when(p["s"]["c"]["family"].isNull() & F.contains(p["lines"], F.lit(INNER)), split(p)).otherwise(F.array(p["s"]))))
+
+    def of_text(text: Column) -> Column:
+        each = F.transform(_paragraphs(text), lambda p: F.struct(p["lines"].alias("lines"), scored(p["lines"], p["at"]).alias("s")))
+        return F.flatten(F.transform(each, lambda p: F.when(p["s"]["c"]["family"].isNull() & F.contains(p["lines"], F.lit(INNER)), split(p)).otherwise(F.array(p["s"]))))
+
+    # A text without a telling word and without a notice's has neither a family nor an unknown notice.
+    found = _let(F.lower(F.coalesce(F.col("text"), F.lit(""))), lambda x: F.when(F.rlike(x, telling) | is_notice(x), of_text(x)))
     of_hits = lambda h, n_unknown: F.struct(
         F.greatest(F.size(h), F.lit(0)).cast("long").alias("n_licenses"),
         F.greatest(F.size(F.filter(h, lambda x: x["c"]["confirmed"])), F.lit(0)).cast("long").alias("n_confirmed"),
@@ -273,5 +303,6 @@ def scan(docs: DataFrame) -> DataFrame:
         n_unknown.alias("n_unknown"),
     )
     is_hit = lambda x: x["c"]["family"].isNotNull()
-    of_found = lambda f: _let(F.filter(f, is_hit), lambda h: of_hits(h, F.size(F.filter(f, lambda x: ~is_hit(x) & x["notice"])).cast("long")))
-    return docs.select(*own, _let(found, of_found).alias("__h")).select(*own, *[f"__h.{n}" for n in new])
+    of_found = lambda f: _let(F.filter(f, is_hit), lambda h: of_hits(h, F.greatest(F.size(F.filter(f, lambda x: ~is_hit(x) & x["notice"])), F.lit(0)).cast("long")))
+    # A generator's row is made once; a struct that is taken apart would be made again for each of its fields.
+    return docs.select(*own, F.inline(F.array(_let(found, of_found))))

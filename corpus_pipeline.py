@@ -4,7 +4,12 @@ STAGES lists (name, function); each function takes (spark, docs, sf_dir) and
 returns what it keeps, with the columns of documents (the last: with the shard
 of each row). A driver that runs them writes each result as Parquet and reads
 it again as the next one's docs; run() does so in the session's shared
-checkpoint folder.
+checkpoint folder and removes each result when the one after it is written.
+
+Defined results: columns beyond those of documents are kept by all stages but
+the last; null and empty texts are clean, near duplicates of each other (one
+stays) and taken 0 times by the mix; rows without an id are kept or dropped by
+their text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerfold.files import Files
 from ledgerfold.llm import decontaminate, mixing, sharding, simhash, toxicity
 from ledgerfold.llm.common import table
 
@@ -31,7 +37,7 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth of the words or more are benchmark passages go."""
+    """Documents that hold a whole benchmark window go, however long they are, and those of which a twentieth of the words or more are benchmark words."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -65,4 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}_{name}")
             docs = spark.read.parquet(f"{folder}/{k}_{name}")
+            if k:
+                Files(spark).remove(f"{folder}/{k - 1}_{STAGES[k - 1][0]}")
     return docs

@@ -30,15 +30,15 @@ stay, those named like a result are replaced.
 
 from __future__ import annotations
 
-import builtins
 import hashlib
-import importlib
 import keyword
 import random
 import re
 import sys
+import sysconfig
 from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from pathlib import Path
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -59,7 +59,7 @@ CAMEL = re.compile(r"(?:[A-Z]?[a-z]{2,}[^A-Za-z]*+)++")
 VALUE_LINE = re.compile(r"""[\s>#*/"'(+-]*+[a-z0-9+/_=-]++(?:\\n)?+["']?+[\s,;)\\+]*+""", re.A | re.I)
 PEM = re.compile(r"""-{4,5} ?begin [a-z0-9 ]*private key[a-z0-9 ]*-{4,5}(?:(?:proc-type|dek-info|comment|version|hash|charset):[^\n]*|[a-z0-9+/=_\s"',>#*-]|\\[nr])*+""", re.A)
 PEM_END = re.compile("-{4,5} ?end ")
-BEFORE, AROUND, MIN_NOVELTY, LEVEL, DICTIONARY_BYTES = 48, 256, 0.72, 3, 24_000
+BEFORE, AROUND, MIN_NOVELTY, LEVEL, DICTIONARY_BYTES = 48, 256, 0.71, 3, 24_000
 IDENTIFIERS = b"""
  import export require return function const let var class public private protected static final void string integer boolean
  true false null none self this new delete def async await yield lambda try except catch finally raise throw if else elif for while
@@ -75,8 +75,8 @@ IDENTIFIERS = b"""
 
 #: The modules whose names are learned as identifiers.
 MODULES = (
-    "os os.path socket http.client http.server urllib.request urllib.parse ssl email.message logging threading subprocess json sqlite3 datetime "
-    "collections asyncio argparse configparser hashlib hmac ftplib smtplib unittest xml.dom.minidom zipfile shutil inspect decimal"
+    "os posixpath socket http.client http.server urllib.request urllib.parse ssl email.message logging threading subprocess json.decoder json.encoder datetime "
+    "collections asyncio.base_events argparse configparser hashlib hmac ftplib smtplib unittest.case xml.dom.minidom zipfile shutil inspect _pydecimal"
 ).split()
 #: Plain code around a candidate that has little around it.
 FILL = """
@@ -89,12 +89,21 @@ print(f"{total:.2f} over {len(table)} rows, see the chart on page two")
 """
 
 
+NAME = re.compile(r"(?:\bdef |\bclass |\.)([A-Za-z_]{3,})|^([A-Za-z_]{3,}) *=", re.M)
+
+
 @lru_cache(maxsize=1)
 def dictionary() -> bytes:
-    """A zstandard dictionary of identifiers: the parts of standard names, joined in the usual four styles."""
-    names = set(keyword.kwlist) | set(dir(builtins)) | set(sys.stdlib_module_names)
-    for m in map(importlib.import_module, MODULES):
-        names |= set(dir(m)).union(*(dir(x) for x in vars(m).values() if isinstance(x, type)))
+    """A zstandard dictionary of identifiers: the parts of standard names, joined in the usual four styles.
+
+    Names are those that the modules' sources define or use as attributes, so
+    they don't depend on what else this process has loaded.
+    """
+    names = set(keyword.kwlist) | set(sys.stdlib_module_names)
+    for m in MODULES:
+        at = Path(sysconfig.get_path("stdlib"), *m.split("."))
+        source = at / "__init__.py" if at.is_dir() else at.with_name(f"{at.name}.py")
+        names |= {a or b for a, b in NAME.findall(source.read_text(encoding="utf-8"))}
     parts = sorted({w.lower() for n in names for w in re.findall("[A-Z]?[a-z]{2,}|[A-Z]{3,}", n)})
     pick = random.Random(0)
 

@@ -41,13 +41,15 @@ def add_columns(df: DataFrame, read: list[str], fn: Callable[..., Iterator[tuple
     """
     names = {n.lower() for n, _ in fields}
     keep = [c for c in df.columns if c.lower() not in names]
-    inputs = df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`").cast("binary" if isinstance(df.schema[c].dataType, T.StringType) else df.schema[c].dataType).alias(f"__in{i}") for i, c in enumerate(read)])
+    sent = [c for c in read if c not in keep]  # what is kept is read from there, not sent twice
+    inputs = df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(sent)])
+    places = [keep.index(c) if c in keep else len(keep) + sent.index(c) for c in read]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(n, t) for n, t in fields])
     arrow = [(n, _ARROW[type(t)]) for n, t in fields]
 
     def run(batches):
         for b in batches:
-            cols = [b.column(len(keep) + i).to_pylist() for i in range(len(read))]
+            cols = [_bytes(b.column(k)).to_pylist() for k in places]
             got = list(fn(*cols))
             new = [pa.array([r[i] for r in got], type=t) for i, (_, t) in enumerate(arrow)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *new], names=[*keep, *[n for n, _ in arrow]])
@@ -55,6 +57,13 @@ def add_columns(df: DataFrame, read: list[str], fn: Callable[..., Iterator[tuple
     return inputs.mapInArrow(run, schema)
 
 
+def _bytes(column: pa.Array) -> pa.Array:
+    """Strings as their UTF-8 bytes, which costs no copy; other columns as they are."""
+    if pa.types.is_string(column.type):
+        return column.cast(pa.binary())
+    return column.cast(pa.large_binary()) if pa.types.is_large_string(column.type) else column
+
+
 _ARROW = {
     T.LongType: pa.int64(),
     T.IntegerType: pa.int32(),

@@ -150,8 +150,8 @@ def _merge(starts: np.ndarray, stops: np.ndarray) -> tuple[int, int]:
 _FIELDS = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("longest_hit", T.LongType())]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, share: int = 20, resident: int = RESIDENT) -> DataFrame:
-    """docs plus n_words, n_hit, n_items, items_sha256, contaminated, longest_hit.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, share: int = 20, resident: int = RESIDENT, text: str = "text") -> DataFrame:
+    """docs (with the texts in column `text`) plus n_words, n_hit, n_items, items_sha256, contaminated, longest_hit.
 
     contaminated: n_hit > 0 and share * n_hit >= n_words. longest_hit: hit words on end, at most.
     """
@@ -195,7 +195,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             vars(block).pop("_value", None)  # what the worker has loaded of this broadcast
         yield from (verdict(*state) for state in states)
 
-    return add_columns(docs, ["text"], run, _FIELDS)
+    return add_columns(docs, [text], run, _FIELDS)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, **how) -> DataFrame:
@@ -207,7 +207,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, **how) ->
     phrase, counts only by share.
     """
     own = [c for c in docs.columns]
-    marked = contamination(docs.select(*[F.col(f"`{c}`").alias(f"__d{i}") for i, c in enumerate(own)], F.col("text")), benchmark, window=window, **how)
+    renamed = docs.select(*[F.col(f"`{c}`").alias(f"__d{i}") for i, c in enumerate(own)])
+    marked = contamination(renamed, benchmark, window=window, text=f"__d{own.index('text')}", **how)
     return marked.where(~F.col("contaminated") & (F.col("longest_hit") < window)).select(*[F.col(f"__d{i}").alias(c) for i, c in enumerate(own)])
 
 
